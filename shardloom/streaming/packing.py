@@ -45,7 +45,7 @@ def pack_stream(
 
 def read_packed(spark: SparkSession, out: str) -> DataFrame:
     """The finished blocks of all micro-batches so far."""
-    return spark.read.parquet(out).filter("emitted").drop("batch", "emitted")
+    return spark.read.parquet(out).filter("emitted = 'true'").drop("batch", "emitted")
 
 
 def _unfinished(batch: DataFrame, folder: str | None, scope: list[str]) -> DataFrame:
