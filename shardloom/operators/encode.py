@@ -39,7 +39,7 @@ def encode(docs: DataFrame, key: list[str], vocab: DataFrame, tokens: str = "tok
     unknown = special_ids(vocab)[UNK]
     hot = (F.col("id") < HEAD_ROWS) | F.col("token").isin(*SPECIALS)
     table = vocab.select(F.col("token").alias("item"), F.col("id").alias("value"), hot.alias("hot"))
-    return map_items(docs, key, tokens, table, F.lit(unknown).cast("bigint"), out)
+    return map_items(docs, key, tokens, table, unknown, out)
 
 
 def decode(blocks: DataFrame, key: list[str], vocab: DataFrame, ids: str = "tokens", out: str = "text") -> DataFrame:
@@ -50,5 +50,5 @@ def decode(blocks: DataFrame, key: list[str], vocab: DataFrame, ids: str = "toke
         F.when(special, F.lit("")).otherwise(F.col("token")).alias("value"),
         ((F.col("id") < HEAD_ROWS) | special).alias("hot"),
     )
-    named = map_items(blocks, key, ids, table, F.lit(""), "_names")
+    named = map_items(blocks, key, ids, table, "", "_names")
     return named.select(*key, F.array_join(F.filter("_names", lambda t: t != ""), " ").alias(out))

@@ -2,10 +2,14 @@
 
 from __future__ import annotations
 
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import ArrayType
 
-HEAD_ROWS = 100_000  # most rows ever broadcast
+HEAD_ROWS = 100_000  # most rows of a broadcast join
+MAP_SIDE_ROWS = 1_000_000  # most rows of a table sent to the tasks for array lookups
 TAIL_SALTS = 16
 
 
@@ -30,13 +34,49 @@ def lookup(rows: DataFrame, on: list[str], table: DataFrame, salt: Column, head_
     return tried.filter("_hit").drop("_hit").unionByName(found)
 
 
-def map_items(rows: DataFrame, key: list[str], items: str, table: DataFrame, default: Column, out: str) -> DataFrame:
-    """Replace each item of an array by its value in `table(item, value, hot)`.
+def map_items(
+    rows: DataFrame,
+    key: list[str],
+    items: str,
+    table: DataFrame,
+    default: object,
+    out: str,
+    map_side_rows: int = MAP_SIDE_ROWS,
+) -> DataFrame:
+    """Replace each item of an array by its value in `table(item, value, hot)`, or by `default`.
 
-    If `rows` is already partitioned by part of `key`, collecting the arrays again needs no shuffle.
+    A table of at most map_side_rows rows, counted first, goes to all tasks and the arrays stay where they
+    are: no exploded rows and no shuffle. A larger one is joined item by item.
     """
+    if table.limit(map_side_rows + 1).count() <= map_side_rows:
+        replaced = _replacer(table, default)(F.col(items))
+        return rows.select(*key, replaced.alias(out))
+    value = table.schema["value"].dataType
+    missing = F.lit(default).cast(value) if default != [] else F.array().cast(value)
     parts = rows.select(*key, F.posexplode_outer(items).alias("_pos", "item"))
     found = lookup(parts, ["item"], table, F.struct(*key, "_pos"))
-    entry = F.when(F.col("_pos").isNotNull(), F.struct("_pos", F.coalesce("value", default).alias("value")))
+    entry = F.when(F.col("_pos").isNotNull(), F.struct("_pos", F.coalesce("value", missing).alias("value")))
     collected = F.array_sort(F.collect_list(entry))
     return found.groupBy(*key).agg(F.transform(collected, lambda e: e["value"]).alias(out))
+
+
+def _replacer(table: DataFrame, default: object):
+    """An Arrow function from item arrays to value arrays."""
+    pairs = table.select("item", "value").toArrow().combine_chunks()
+    known, values = (pa.concat_arrays(pairs[c].chunks) if pairs.num_rows else pairs[c].type for c in ("item", "value"))
+    if not pairs.num_rows:
+        known, values = pa.array([], known), pa.array([], values)
+    values = pa.concat_arrays([values, pa.array([default], values.type)])
+    shared = table.sparkSession.sparkContext.broadcast((known, values))
+
+    @F.arrow_udf(ArrayType(table.schema["value"].dataType))
+    def replace(lists: pa.Array) -> pa.Array:
+        known, values = shared.value
+        flat = lists.flatten()
+        places = pc.fill_null(pc.index_in(flat, value_set=known.cast(flat.type)), len(values) - 1)
+        lengths = pc.fill_null(pc.list_value_length(lists), 0)
+        ends = pc.cumulative_sum(lengths).cast(pa.int32())
+        offsets = pa.concat_arrays([pa.array([0], pa.int32()), ends])
+        return pa.ListArray.from_arrays(offsets, values.take(places))
+
+    return replace

@@ -52,8 +52,9 @@ def encode_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query(f"""WITH {TOKENS} SELECT doc_id, md5(array_to_string(list_filter(tokens, lambda t: t <> '{EOS}'), '')) AS digest FROM tokens""")
 def decode_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Pieces put together again spell the words."""
-    pieces = bpe.decode_pieces("ids", _trained(spark, sf_dir)[0])
-    return _bpe_ids(spark, sf_dir).select("doc_id", F.md5(F.array_join(pieces, "")).alias("digest"))
+    pieces = bpe.piece_table(spark, _trained(spark, sf_dir)[0])
+    text = bpe.decode_pieces(_bpe_ids(spark, sf_dir), ["doc_id"], pieces)
+    return text.select("doc_id", F.md5("text").alias("digest"))
 
 
 _MODEL = """

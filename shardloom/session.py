@@ -2,10 +2,11 @@
 
 from __future__ import annotations
 
-import os
+import sys
 import tempfile
 import uuid
 
+from pyspark import cloudpickle
 from pyspark.sql import DataFrame, SparkSession
 
 _LOCAL_FOLDERS: dict[str, str] = {}
@@ -56,5 +57,6 @@ def stage(df: DataFrame, label: str) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
-def join_path(*parts: str) -> str:
-    return os.path.join(*parts)
+def ship(module: str) -> None:
+    """Send a module's functions with the tasks, so that workers need not have the package installed."""
+    cloudpickle.register_pickle_by_value(sys.modules[module])

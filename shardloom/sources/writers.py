@@ -12,6 +12,8 @@ from pyspark.sql import functions as F
 from pyspark.sql.datasource import DataSource, DataSourceArrowWriter, WriterCommitMessage
 from pyspark.sql.types import StructType
 
+from shardloom.session import ship
+
 ZSTD_LEVEL = 3
 
 
@@ -37,6 +39,7 @@ def write_jsonl(lines: DataFrame, path: str, compression: str = "zstd") -> None:
     Spark's text writer has no zstd codec, so that one goes through the `zstd_lines` writer below.
     """
     if compression == "zstd":
+        ship(__name__)
         lines.sparkSession.dataSource.register(ZstdLines)
         lines.toDF("value").write.format("zstd_lines").mode("append").save(path)
     else:
@@ -97,7 +100,7 @@ class _ZstdWriter(DataSourceArrowWriter):
         name = f"part-{task:05d}-{uuid.uuid4().hex}.jsonl.zst"
         part = _Part(f"{root}/_staged-{name}", f"{root}/{name}")
         files.create_dir(root, recursive=True)
-        with files.open_output_stream(part.staged) as sink:
+        with files.open_output_stream(part.staged, compression=None) as sink:
             with zstandard.ZstdCompressor(level=self.level).stream_writer(sink, closefd=False) as out:
                 for batch in iterator:
                     for line in batch.column(0):
