@@ -44,24 +44,24 @@ def prefix_agg(
             df = df.withColumn(out, F.coalesce(value, F.lit(0)) if op == "sum" else value)
         return df
 
-    bucket = div(key, fan)
-    totals = df.groupBy(*group, bucket.alias("_bucket")).agg(
+    bucket, name = div(key, fan), f"_bucket_{levels}"
+    totals = df.groupBy(*group, bucket.alias(name)).agg(
         *[_MERGE[op](col).alias(f"_total_{out}") for out, (op, col) in aggs.items()]
     )
     totals = prefix_agg(
         totals,
         group,
-        "_bucket",
+        name,
         {f"_before_{out}": (op, f"_total_{out}") for out, (op, _) in aggs.items()},
         fan,
         levels - 1,
     ).drop(*[f"_total_{out}" for out in aggs])
 
-    window = before([*group, "_bucket"])
-    inside = df.withColumn("_bucket", bucket)
+    window = before([*group, name])
+    inside = df.withColumn(name, bucket)
     for out, (op, col) in aggs.items():
         inside = inside.withColumn(f"_inside_{out}", _MERGE[op](col).over(window))
-    joined = inside.join(totals, [*group, "_bucket"])
+    joined = inside.join(totals, [*group, name])
     kept = [c for c in df.columns if c not in aggs]
     return joined.select(
         *kept,
