@@ -8,8 +8,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import ArrayType
 
-HEAD_ROWS = 100_000  # most rows of a broadcast join
-MAP_SIDE_ROWS = 1_000_000  # most rows of a table sent to the tasks for array lookups
+HEAD_ROWS = 500_000  # most rows of a broadcast join
+MAP_SIDE_ROWS = 500_000  # most rows of a table sent to the tasks for array lookups
 TAIL_SALTS = 16
 
 
@@ -34,6 +34,11 @@ def lookup(rows: DataFrame, on: list[str], table: DataFrame, salt: Column, head_
     return tried.filter("_hit").drop("_hit").unionByName(found)
 
 
+def attach(rows: DataFrame, on: list[str], table: DataFrame, salt: Column) -> DataFrame:
+    """Left join to a table with one row per group, such as shards or runs, of which one may own most rows."""
+    return lookup(rows, on, table.withColumn("hot", F.lit(False)), salt)
+
+
 def map_items(
     rows: DataFrame,
     key: list[str],

@@ -8,6 +8,7 @@ from pyspark.sql.window import Window as W
 
 from shardloom.functions.arith import div
 from shardloom.functions.text import seeded_key
+from shardloom.operators.lookup import attach
 
 CHUNK_DOCS = 20_000  # fixed value: documents per shuffled chunk
 
@@ -65,6 +66,6 @@ def stream_offsets(block_counts: DataFrame, order: DataFrame) -> DataFrame:
 
 def interleave(blocks: DataFrame, offsets: DataFrame, n_streams: int, n_epochs: int = 1) -> DataFrame:
     """Block k of every stream in turn: a sequence number by arithmetic, without a global sort."""
-    placed = repeat_epochs(blocks.join(offsets, ["stream", "shard"]), n_epochs)
+    placed = repeat_epochs(attach(blocks, ["stream", "shard"], offsets, F.col("block_no")), n_epochs)
     k = F.col("epoch") * F.col("pass_blocks") + F.col("shard_offset") + F.col("block_no")
     return placed.withColumn("mix_seq", (k * n_streams + F.col("stream")).cast("bigint"))

@@ -6,6 +6,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window as W
 
+from shardloom.operators.lookup import attach
+
 # Shard counts and split names.
 TRAIN_SHARDS, VAL_SHARDS = 80, 10
 TRAIN, VAL, TEST = "train", "val", "test"
@@ -26,7 +28,7 @@ def rank_shards(shards: DataFrame, n_train: int = TRAIN_SHARDS, n_val: int = VAL
 
 
 def split_by_shard(docs: DataFrame, ranked: DataFrame) -> DataFrame:
-    return docs.join(ranked.select("shard", "split"), "shard")
+    return attach(docs, ["shard"], ranked.select("shard", "split"), F.struct(*docs.columns))
 
 
 def split_of_file(path: Column | str) -> Column:

@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from shardloom.functions.arith import div
 from shardloom.functions.text import digest
 from shardloom.operators import batching, encode, ordering, packing, splits
+from shardloom.operators.lookup import attach
 from shardloom.operators.runlog import MODEL_SIZES, model_sizes
 from shardloom.plans import tables
 from shardloom.plans.registry import query
@@ -81,7 +82,7 @@ def repeat_epochs(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = ordering.add_streams(_doc_places(spark, sf_dir), STREAMS)
     shuffled_docs = ordering.shuffle_docs(docs, F.col("stream"), CHUNK_DOCS, ("stream", "shard"))
     order = stage(_train_order(spark, sf_dir), "shard-order")
-    visits = ordering.repeat_epochs(shuffled_docs.join(order, ["stream", "shard"]), EPOCHS)
+    visits = ordering.repeat_epochs(attach(shuffled_docs, ["stream", "shard"], order, F.col("doc_id")), EPOCHS).filter("shard_pos is not null")
     return visits.select("chunk", "doc_id", *_long("epoch", "stream", "shard_pos", "doc_i"))
 
 

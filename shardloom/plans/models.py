@@ -44,7 +44,8 @@ def _bpe_ids(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query()
 def encode_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
-    ids = wrap("ids", F.lit(BPE_VOCAB + 2).cast("bigint"))  # the end mark follows <unk> and <bos>
+    vocab = bpe.tokenizer_vocab(_trained(spark, sf_dir)[0])
+    ids = wrap("ids", F.lit(vocab[EOS]).cast("bigint"))
     docs = _bpe_ids(spark, sf_dir).withColumn("ids", ids)
     return docs.select("doc_id", F.size("ids").cast("bigint").alias("n_ids"), digest("ids").alias("digest"))
 

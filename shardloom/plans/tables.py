@@ -13,7 +13,6 @@ from pyspark.sql import functions as F
 
 from shardloom.functions.text import EOS, words, wrap
 from shardloom.operators.encode import encode, rank_vocab
-from shardloom.operators.ordering import place_in_chunks
 from shardloom.operators.prefix import ordered_index
 from shardloom.operators.runlog import MODEL_SIZES
 from shardloom.operators.splits import TRAIN, rank_shards, split_by_shard
@@ -77,12 +76,11 @@ def vocab(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def encoded(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The tokens table with ids instead of words, clustered by chunk so that packing need not regroup documents."""
+    """The tokens table with ids instead of words."""
 
     def build() -> DataFrame:
-        docs = place_in_chunks(tokens(spark, sf_dir)).repartition("shard", "chunk")
-        key = ["shard", "chunk", "doc_no", "doc_id", "lang", "split", "n"]
-        return encode(docs, key, vocab(spark, sf_dir)).drop("chunk")
+        key = ["shard", "doc_no", "doc_id", "lang", "split", "n"]
+        return encode(tokens(spark, sf_dir), key, vocab(spark, sf_dir))
 
     return stored(spark, sf_dir, "encoded", build)
 

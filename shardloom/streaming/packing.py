@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 
 from shardloom.functions.arith import div
-from shardloom.operators.lookup import lookup
+from shardloom.operators.lookup import attach
 from shardloom.operators.packing import pack
 
 
@@ -30,8 +30,8 @@ def pack_stream(
         )
         rows = head.unionByName(fresh).withColumn("n", F.size("tokens").cast("bigint"))
         blocks = pack(rows, scope, ["doc_no"], length, provenance=F.col("doc_no"), unfinished=True)
-        first = carried.select(*scope, F.col("block_no").alias("first"), F.lit(False).alias("hot"))
-        blocks = lookup(blocks, scope, first, F.col("block_no"))
+        first = carried.select(*scope, F.col("block_no").alias("first"))
+        blocks = attach(blocks, scope, first, F.col("block_no"))
         numbered = blocks.withColumn("block_no", F.col("block_no") + F.coalesce("first", F.lit(0))).drop("first")
         numbered.write.mode("overwrite").partitionBy("emitted").parquet(f"{out}/batch={batch_id}")
 

@@ -5,9 +5,10 @@ import pytest
 from pyspark.sql import functions as F
 from tokenizers import Tokenizer, models, pre_tokenizers, trainers
 
-from shardloom.functions.text import words
+from shardloom.functions.text import byte_level_words, bytes_to_text, words
 from shardloom.operators import bpe, encode
 from shardloom.operators.lookup import lookup, map_items
+from shardloom.sources import readers
 
 
 def plain_bpe(counts, vocab_size):
@@ -104,3 +105,37 @@ def test_bpe_round_trip(spark, stager):
     assert {r.doc: r.text for r in text.collect()} == {1: "lowlowerlowest", 2: "newerwiderlowlow"}
     again = bpe.segment(segmented, merges, {p: i for i, p in enumerate(pieces)})
     assert {r.token: r.ids for r in again.collect()} == {r.token: r.ids for r in segmented.collect()}
+
+
+def test_a_stored_tokenizer_is_used_again(spark, stager, tmp_path):
+    counts = spark.createDataFrame([("low", 5), ("lower", 2), ("newest", 6)], "token string, n bigint")
+    path = str(tmp_path / "tokenizer.json")
+    first = bpe.load_or_train(counts, path, stager, vocab_size=14)
+    other = spark.createDataFrame([("zzz", 1)], "token string, n bigint")
+    assert bpe.load_or_train(other, path, stager, vocab_size=14) == first
+    vocab = bpe.tokenizer_vocab(first[0])
+    assert [vocab[t] for t in ("<bos>", "<eos>", "<unk>")] == [14, 15, 16]
+
+
+def test_byte_level_encoding_equals_the_tokenizers_library(spark, tmp_path):
+    """Any vocabulary and merges files work; here small ones trained by the library."""
+    docs = spark.read.parquet("/root/testdata/sf0.001/documents.parquet").filter("doc_id < 30").select("doc_id", "text")
+    rows = docs.collect()
+    tokenizer = Tokenizer(models.BPE())
+    tokenizer.pre_tokenizer = pre_tokenizers.ByteLevel(add_prefix_space=False)
+    alphabet = pre_tokenizers.ByteLevel.alphabet()
+    tokenizer.train_from_iterator(
+        [r.text for r in rows], trainers.BpeTrainer(vocab_size=500, show_progress=False, initial_alphabet=alphabet)
+    )
+    tokenizer.model.save(str(tmp_path))
+    vocab = {r.token: r.id for r in readers.read_vocab_json(spark, str(tmp_path / "vocab.json")).collect()}
+    merges = readers.read_merges(spark, str(tmp_path / "merges.txt")).orderBy("merge_no").collect()
+    tokens = docs.select("doc_id", byte_level_words("text").alias("tokens"))
+    counts = tokens.select(F.explode("tokens").alias("token")).groupBy("token").agg(F.count("*").alias("n"))
+    segmented = bpe.segment(counts, [(m.left, m.right) for m in merges], vocab).join(counts, "token")
+    ids = bpe.encode_pieces(tokens, ["doc_id"], segmented)
+    want = {r.doc_id: tokenizer.encode(r.text).ids for r in rows}
+    assert {r.doc_id: r.ids for r in ids.collect()} == want
+    pieces = spark.createDataFrame([(i, p) for p, i in vocab.items()], "id bigint, piece string")
+    back = bpe.decode_pieces(ids, ["doc_id"], pieces).select("doc_id", bytes_to_text("text").alias("text"))
+    assert {r.doc_id: r.text for r in back.collect()} == {r.doc_id: r.text for r in rows}
