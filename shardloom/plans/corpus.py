@@ -127,9 +127,9 @@ def interleave(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 @query(f"""WITH {VOCAB}, unknown AS (SELECT id FROM vocab WHERE token = '<unk>')
-SELECT doc_id, len(tokens) AS n_ids, md5(string_agg(coalesce(v.id, unknown.id)::VARCHAR, ' ' ORDER BY i)) AS digest
-FROM (SELECT doc_id, tokens, unnest(tokens) AS token, unnest(range(len(tokens))) AS i FROM tokens) t
-CROSS JOIN unknown LEFT JOIN vocab v ON t.token = v.token GROUP BY doc_id, tokens""")
+SELECT doc_id, count(*) AS n_ids, md5(string_agg(coalesce(v.id, unknown.id)::VARCHAR, ' ' ORDER BY i)) AS digest
+FROM (SELECT doc_id, unnest(tokens) AS token, unnest(range(len(tokens))) AS i FROM tokens) t
+CROSS JOIN unknown LEFT JOIN vocab v ON t.token = v.token GROUP BY doc_id""")
 def encode_word(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = tables.tokens(spark, sf_dir).select("doc_id", "tokens")
     ids = encode.encode(docs, ["doc_id"], tables.vocab(spark, sf_dir))

@@ -30,7 +30,29 @@ def _trained(spark: SparkSession, sf_dir: str) -> tuple[list[str], list[tuple[st
     return _TRAINED[key]
 
 
-@query()
+# One state row per merge: the pieces so far and every word, a character per symbol as chr(65536 + id).
+_BPE = f"""{TOKENS},
+words AS (SELECT token, count(*) AS n FROM (SELECT unnest(tokens) AS token FROM tokens) WHERE token <> '{EOS}' GROUP BY token),
+letters AS (SELECT list(DISTINCT c ORDER BY c) AS pieces FROM (SELECT unnest(string_split(token, '')) AS c FROM words)),
+spelled AS (
+  SELECT token, n, array_to_string(list_transform(string_split(token, ''), lambda c: chr(65535 + list_position(pieces, c)::INT)), '') AS symbols
+  FROM words CROSS JOIN letters),
+state AS (
+  SELECT 0 AS k, pieces, NULL::VARCHAR AS a, NULL::VARCHAR AS b, s.symbols, s.counts
+  FROM letters CROSS JOIN (SELECT list(symbols ORDER BY token) AS symbols, list(n ORDER BY token) AS counts FROM spelled) s
+  UNION ALL
+  SELECT k + 1, CASE WHEN list_contains(pieces, x || y) THEN pieces ELSE list_append(pieces, x || y) END, x, y,
+         list_transform(symbols, lambda w: replace(w, pair, chr(65535 + coalesce(nullif(list_position(pieces, x || y), 0), len(pieces) + 1)::INT))), counts
+  FROM (
+    SELECT s.*, pair, pieces[ord(pair[1]) - 65535] AS x, pieces[ord(pair[2]) - 65535] AS y
+    FROM state s CROSS JOIN (
+      SELECT pair FROM (SELECT n, w[i:i + 1] AS pair FROM (
+        SELECT n, w, unnest(range(1, len(w))) AS i FROM (SELECT unnest(symbols) AS w, unnest(counts) AS n FROM state)))
+      GROUP BY pair ORDER BY sum(n) DESC, pair LIMIT 1)
+    WHERE len(pieces) < {BPE_VOCAB}))"""
+
+
+@query(f"""WITH RECURSIVE {_BPE} SELECT (k - 1)::BIGINT AS merge_no, a AS "left", b AS "right" FROM state WHERE k > 0""")
 def train_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     _, merges, _ = _trained(spark, sf_dir)
     rows = [(i, left, right) for i, (left, right) in enumerate(merges)]
@@ -42,7 +64,15 @@ def _bpe_ids(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bpe.encode_pieces(docs, ["doc_id"], _trained(spark, sf_dir)[2])
 
 
-@query()
+@query(f"""WITH RECURSIVE {_BPE},
+ids AS (
+  SELECT unnest((SELECT list(token ORDER BY token) FROM spelled)) AS token, unnest(symbols) AS word
+  FROM state WHERE k = (SELECT max(k) FROM state)),
+pieced AS (SELECT token, len(word) AS n, array_to_string(list_transform(string_split(word, ''), lambda c: ord(c) - 65536), ' ') AS ids FROM ids)
+SELECT doc_id, (coalesce(sum(n), 0) + 2)::BIGINT AS n_ids,
+       md5(concat_ws(' ', {BPE_VOCAB + 1}, string_agg(ids, ' ' ORDER BY i), {BPE_VOCAB + 1})) AS digest
+FROM (SELECT doc_id, unnest(tokens) AS token, unnest(range(len(tokens))) AS i FROM tokens) t LEFT JOIN pieced USING (token)
+GROUP BY doc_id""")
 def encode_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     vocab = bpe.tokenizer_vocab(_trained(spark, sf_dir)[0])
     ids = wrap("ids", F.lit(vocab[EOS]).cast("bigint"))
