@@ -14,6 +14,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window as W
 
 from shardloom.functions.arith import div
+from shardloom.operators.lookup import HEAD_ROWS
 
 _MERGE = {"sum": F.sum, "min": F.min, "max": F.max}
 _COMBINE: dict[str, Callable[[Column, Column], Column]] = {
@@ -102,16 +103,18 @@ def index_from_runs(
     run: str,
     row: str,
     out: str,
-    stage: Callable[[DataFrame], DataFrame] | None = None,
+    stage: Callable[[DataFrame], DataFrame],
 ) -> DataFrame:
-    """Positions from runs of consecutive `row` ids: one row per (group, run) is all that is summed up."""
+    """Positions from runs of consecutive `row` ids: one row per (group, run) is all that is summed up.
+
+    That table is stored and counted, so that df itself is not shuffled unless there are very many runs.
+    """
     runs = df.groupBy(*group, run).agg(F.min(row).alias("_first"), F.count("*").alias("_n"))
     before = W.partitionBy(*group).orderBy(run).rowsBetween(W.unboundedPreceding, -1)
     runs = runs.withColumn("_before", F.coalesce(F.sum("_n").over(before), F.lit(0))).drop("_n")
-    if stage is not None:
-        runs = stage(runs)
+    runs = stage(runs)
     return (
-        df.join(runs, [*group, run])
+        df.join(F.broadcast(runs) if runs.count() <= HEAD_ROWS else runs, [*group, run])
         .withColumn(out, F.col(row) - F.col("_first") + F.col("_before"))
         .drop("_first", "_before")
     )

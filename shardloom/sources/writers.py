@@ -103,8 +103,8 @@ class _ZstdWriter(DataSourceArrowWriter):
         with files.open_output_stream(part.staged, compression=None) as sink:
             with zstandard.ZstdCompressor(level=self.level).stream_writer(sink, closefd=False) as out:
                 for batch in iterator:
-                    for line in batch.column(0):
-                        out.write(line.as_py().encode("utf-8") + b"\n")
+                    for line in batch.column(0).cast(pa.binary()):
+                        out.write(line.as_py() + b"\n")
         return part
 
     def commit(self, messages: list[WriterCommitMessage | None]) -> None:

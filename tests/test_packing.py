@@ -64,7 +64,7 @@ def test_pack_equals_a_token_walk(spark, seed, length):
         assert r.n_blocks == sum(shard == r.shard for shard, _ in want)
 
 
-@settings(max_examples=8, deadline=None, suppress_health_check=list(HealthCheck))
+@settings(max_examples=5, deadline=None, suppress_health_check=list(HealthCheck))
 @given(lengths=st.lists(st.integers(0, 30), min_size=1, max_size=12), length=st.integers(1, 10))
 def test_pack_any_lengths(spark, lengths, length):
     shards = {"s": [[100 * i + j for j in range(n)] for i, n in enumerate(lengths)]}
