@@ -12,6 +12,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.datasource import DataSource, DataSourceArrowWriter, WriterCommitMessage
 from pyspark.sql.types import StructType
 
+from shardloom.functions.arith import div
 from shardloom.session import ship
 
 ZSTD_LEVEL = 3
@@ -46,15 +47,11 @@ def write_jsonl(lines: DataFrame, path: str, compression: str = "zstd") -> None:
         lines.toDF("value").write.mode("append").option("compression", compression).text(path)
 
 
-def write_vocab_json(vocab: DataFrame, path: str, max_rows: int = 5_000_000) -> None:
-    """One JSON object of token -> id.
-
-    The file format is a single object, so a single task writes it; larger vocabularies are refused.
-    """
-    if vocab.limit(max_rows + 1).count() > max_rows:
-        raise ValueError(f"a vocabulary of more than {max_rows} tokens does not fit one JSON object")
+def write_vocab_json(vocab: DataFrame, path: str, per_file: int = 100_000) -> None:
+    """JSON objects of token -> id, one file per `per_file` ids: a single object unless the vocabulary is larger."""
     entries = F.collect_list(F.struct("token", F.col("id").cast("bigint")))
-    vocab.agg(F.to_json(F.map_from_entries(entries)).alias("value")).coalesce(1).write.text(path)
+    objects = vocab.groupBy(div("id", per_file).alias("part")).agg(F.to_json(F.map_from_entries(entries)).alias("value"))
+    objects.write.partitionBy("part").text(path)
 
 
 @dataclass

@@ -9,6 +9,7 @@ import pytest
 import __spark_entry__ as registered
 from tools.compare import table
 
+TYPES = {"BIGINT": "bigint", "VARCHAR": "string", "DOUBLE": "double", "BOOLEAN": "boolean"}
 SF_DIR = os.environ.get("TEST_SF_DIR", "/root/testdata/sf0.001")
 
 
@@ -29,6 +30,8 @@ def test_query(spark, con, name):
         result = con.execute(registered.oracle_sql()[name])
         expected = table([d[0] for d in result.description], result.fetchall())
         assert table(frame.columns, rows) == expected
+        described = con.execute("DESCRIBE " + registered.oracle_sql()[name]).fetchall()
+        assert dict(frame.dtypes) == {r[0]: TYPES.get(r[1], r[1]) for r in described}
 
 
 def test_entry(spark):

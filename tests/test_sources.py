@@ -100,6 +100,15 @@ def test_vocabularies(spark, tmp_path):
     assert {r.token: r.id for r in readers.read_vocab_json(spark, str(tmp_path / "v.json")).collect()} == {"a": 0, "é\"": 1}
 
 
+def test_vocabulary_files_hold_a_bounded_number_of_tokens(spark, tmp_path):
+    vocab = spark.range(25).select(F.concat(F.lit("t"), F.col("id").cast("string")).alias("token"), "id")
+    for per_file, files in ((10, 3), (100, 1)):
+        path = tmp_path / f"v{per_file}"
+        writers.write_vocab_json(vocab, str(path), per_file)
+        assert len(list(path.glob("part=*/*.txt"))) == files
+        assert {r.token: r.id for r in readers.read_vocab_json(spark, str(path)).collect()} == {f"t{i}": i for i in range(25)}
+
+
 @pytest.mark.parametrize("codec", ["zstd", "gzip"])
 def test_written_documents_come_back(spark, tmp_path, codec):
     docs = spark.createDataFrame([("a\n\"b\" é", '{"k": [1, "x"]}'), ("c", None)], "text string, meta string")
