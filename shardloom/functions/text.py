@@ -5,21 +5,10 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-# The whitespace pre-tokenizer's word and space classes, spelled out with Unicode
-# categories so that Java and RE2 agree.
-_WORD = (
-    r"\p{L}\p{M}\p{Nl}\p{Nd}\p{Pc}\x{200C}\x{200D}\x{24B6}-\x{24E9}"
-    r"\x{1F130}-\x{1F149}\x{1F150}-\x{1F169}\x{1F170}-\x{1F189}"
-)
-_SPACE = r"\t-\r\x{85}\p{Z}"
-WORD_PATTERN = rf"[{_WORD}]+|[^{_WORD}{_SPACE}]+"
-
-# The byte-level pre-tokenizer's pattern and special tokens.
-BYTE_LEVEL_PATTERN = (
-    r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+"
-    rf"| ?[^\t-\r\x{{85}}\p{{Z}}\p{{L}}\p{{N}}]+"
-    rf"|[{_SPACE}]+(?![^{_SPACE}])|[{_SPACE}]+"
-)
+# The patterns of the whitespace and the byte-level pre-tokenizers, with Unicode classes.
+WORD_PATTERN = r"(?U)\w+|[^\w\s]+"
+BYTE_LEVEL_PATTERN = r"(?U)'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
+# The special tokens.
 UNK, BOS, EOS = "<unk>", "<bos>", "<eos>"
 SPECIALS = (UNK, BOS, EOS)
 

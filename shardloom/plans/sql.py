@@ -2,9 +2,15 @@
 
 from __future__ import annotations
 
-from shardloom.functions.text import WORD_PATTERN
 from shardloom.plans.tables import CHUNK_DOCS, LENGTH, TRAIN_SHARDS, VAL_BATCHES, VAL_SHARDS
 
+# The word pattern for engines whose \w and \s know ASCII only, by Unicode categories.
+_WORD = (
+    r"\p{L}\p{M}\p{Nl}\p{Nd}\p{Pc}\x{200C}\x{200D}\x{24B6}-\x{24E9}"
+    r"\x{1F130}-\x{1F149}\x{1F150}-\x{1F169}\x{1F170}-\x{1F189}"
+)
+WORD_PATTERN = rf"[{_WORD}]+|[^{_WORD}\t-\r\x{{85}}\p{{Z}}]+"
+
 SHARDS = f"""
 shards AS (
   SELECT shard, shard_rank,
