@@ -22,11 +22,9 @@ def rank_vocab(counts: DataFrame, stage) -> DataFrame:
 
 def add_specials(vocab: DataFrame) -> DataFrame:
     """Append the special tokens after the highest id."""
-    spark = vocab.sparkSession
-    specials = spark.createDataFrame([(t, i) for i, t in enumerate(SPECIALS)], "token string, _place bigint")
-    size = vocab.agg(F.coalesce(F.max("id") + 1, F.lit(0)).alias("_size"))
-    placed = specials.join(F.broadcast(size)).select("token", (F.col("_size") + F.col("_place")).alias("id"))
-    return vocab.select("token", "id").unionByName(placed)
+    size = vocab.agg(F.coalesce(F.max("id") + 1, F.lit(0))).first()[0]
+    specials = vocab.sparkSession.createDataFrame([(t, size + i) for i, t in enumerate(SPECIALS)], "token string, id bigint")
+    return vocab.select("token", "id").unionByName(specials)
 
 
 def special_ids(vocab: DataFrame) -> dict[str, int]:

@@ -9,7 +9,7 @@ from shardloom.functions.arith import div
 from shardloom.functions.text import digest
 from shardloom.operators import batching, encode, ordering, packing, splits
 from shardloom.operators.lookup import attach
-from shardloom.operators.runlog import MODEL_SIZES, model_sizes
+from shardloom.operators.runlog import MODEL_SIZES
 from shardloom.plans import tables
 from shardloom.plans.registry import query
 from shardloom.plans.sql import DOCS, SHARDS, TOKENS, VOCAB, packed, shuffled
@@ -299,9 +299,10 @@ SELECT size, mini::BIGINT AS mini, accumulate::BIGINT AS accumulate, batch_id //
 FROM placed GROUP BY ALL""")
 def assign_steps(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Optimizer steps per model size: how many micro-batches and blocks each step takes."""
-    sizes = model_sizes(spark).select("size", batching.mini_batch_size(F.col("size")).cast("bigint").alias("mini"))
-    sizes = sizes.withColumn("accumulate", batching.accumulate_batches(F.lit(GLOBAL_BATCH), F.col("mini")))
-    seq = _sequence(spark, sf_dir, "train").crossJoin(F.broadcast(sizes))
+    sizes = F.explode(F.array(*[F.lit(s) for s in _SIZES])).alias("size")
+    seq = _sequence(spark, sf_dir, "train").select("*", sizes)
+    seq = seq.withColumn("mini", batching.mini_batch_size(F.col("size")).cast("bigint"))
+    seq = seq.withColumn("accumulate", batching.accumulate_batches(F.lit(GLOBAL_BATCH), F.col("mini")))
     batched = batching.batch_blocks(seq, "mix_seq", "n_blocks", F.col("mini"))
     steps = batched.withColumn("step", batching.optimizer_step(F.col("batch_id"), F.col("accumulate")))
     return steps.groupBy("size", "mini", "accumulate", "step").agg(
@@ -347,7 +348,7 @@ def eval_schedule(spark: SparkSession, sf_dir: str) -> DataFrame:
     accumulate = batching.accumulate_batches(F.lit(GLOBAL_BATCH), F.lit(BATCH))
     batched = batching.batch_blocks(_sequence(spark, sf_dir, "train"), "mix_seq", "n_blocks", BATCH).filter("slot = 0")
     val = packing.count_blocks(tables.tokens(spark, sf_dir).filter(F.col("split") == "val"), ["shard"], LENGTH)
-    val = val.agg(div(F.coalesce(F.sum("n_blocks"), F.lit(0)), EVAL_BATCH).alias("available"))
+    available = val.agg(div(F.coalesce(F.sum("n_blocks"), F.lit(0)), EVAL_BATCH)).first()[0]
     plans = F.array(
         *[
             F.struct(
@@ -362,9 +363,7 @@ def eval_schedule(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
     planned = batched.select("batch_id", div("n_blocks", BATCH).alias("n_batches"), F.inline(plans))
     due = planned.filter(batching.evaluates_after(F.col("batch_id"), F.col("n_batches"), F.col("interval")))
-    return due.crossJoin(F.broadcast(val)).select(
-        "mode", "eval_interval", "batch_id", F.least("val_limit", "available").alias("val_batches")
-    )
+    return due.select("mode", "eval_interval", "batch_id", F.least("val_limit", F.lit(available)).alias("val_batches"))
 
 
 @query(f"""WITH {TOKENS}, {shuffled()}, {_PACKED},
