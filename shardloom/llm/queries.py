@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from shardloom.llm import byte_bpe, chat, licenses, mixing, quality
+from shardloom.llm import byte_bpe, chat, licenses, mixing, quality, token_files
 from shardloom.llm.common import table
 from shardloom.plans.registry import query
 
@@ -111,3 +111,8 @@ def op2_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query()
 def op4_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return byte_bpe.round_trip(table(spark, sf_dir, "documents"))
+
+
+@query()
+def op8_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return token_files.stored_digest(table(spark, sf_dir, "documents"))
