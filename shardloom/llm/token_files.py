@@ -14,6 +14,7 @@ of their text. A null text is an empty one: its end id alone. An empty table giv
 from __future__ import annotations
 
 import hashlib
+import re
 import struct
 from collections.abc import Iterator
 
@@ -26,7 +27,7 @@ from pyspark.sql.window import Window as W
 from tokenizers import Tokenizer
 
 from shardloom.llm.common import once, send, tokenizer_file
-from shardloom.session import new_path
+from shardloom.session import new_path, stage
 
 VOCABULARY = "word_bpe_49k.json"
 END = 2
@@ -35,34 +36,86 @@ ENTRY = np.dtype([("doc_id", "<i8"), ("null", "<i8"), ("end", "<u8"), ("n", "<u8
 CONTAINER_BYTES = 8 << 20  # of compressed ids, about
 #: The dictionary is trained on the ids of so many documents, those with the smallest hashed ids, and so many bytes of each.
 SAMPLE_ROWS, SAMPLE_BYTES, DICTIONARY_BYTES = 512, 16 << 10, 64 << 10
-REMEMBERED = 500_000  # chunks of text that a process keeps the ids of; only speed depends on it
+REMEMBERED = 250_000  # runs, and pieces, in each generation of a process's cache
+TOGETHER = 64  # texts encoded in one call
 CONTAINER = "part int, first bigint, n_docs bigint, n_tokens bigint, image binary"
 
 
-class WordEncoder(dict):
+class Remembered(dict):
+    """A bounded cache of two generations: what is used stays, and nothing but speed depends on it."""
+
+    def __init__(self, most: int = REMEMBERED):
+        super().__init__()
+        self.older: dict = {}
+        self.most = most
+
+    def __missing__(self, key):
+        self[key] = value = self.older[key]
+        return value
+
+    def new(self, keys: set) -> set:
+        return {k for k in keys if k not in self and k not in self.older}
+
+    def room(self) -> None:
+        """To be called between uses: the younger generation grows old."""
+        if len(self) > self.most:
+            self.older = dict(self)
+            self.clear()
+
+
+#: This vocabulary's splitter for text up to U+00FF, after lower-casing, where its normaliser changes nothing else (fixed values).
+_LETTER, _NUMBER, _BLANK = "a-zªµºß-öø-ÿ", "0-9²³¹¼½¾", r"\x09-\x0d\x20\x85\xa0"
+_SPLIT = re.compile(f"'s|'t|'re|'ve|'m|'ll|'d|[{_LETTER}]+|[{_NUMBER}]|[^{_BLANK}{_LETTER}{_NUMBER}]+").findall
+
+
+class WordEncoder:
     """Runs of anything but white space to their ids as bytes, by the tokenizers library.
 
     This vocabulary's normaliser and splitter never join what ASCII white space parts, so a text's ids are those of its runs.
+    A run of plain characters is split here into the pieces that the library would make of it, and only new pieces go there,
+    many in one call: each gives exactly one token that ends a word.
     """
 
     def __init__(self, path: str):
-        super().__init__()
         self.library = Tokenizer.from_file(path)
-
-    def learn(self, runs: list[bytes]) -> None:
-        encoded = self.library.encode_batch([r.decode() for r in runs], add_special_tokens=False)
-        for run, found in zip(runs, encoded, strict=True):
-            self[run] = np.array(found.ids, "<u4").tobytes()
-
-    def encode(self, text: str) -> bytes:
-        runs = text.encode().split()
-        new = [r for r in dict.fromkeys(runs) if r not in self]
-        if new:
-            if len(self) + len(new) > REMEMBERED:
-                self.clear()
-                new = list(dict.fromkeys(runs))
-            self.learn(new)
-        return b"".join(map(self.__getitem__, runs)) + struct.pack("<I", END)
+        self.runs, self.pieces = Remembered(), Remembered()
+        words = self.library.get_vocab()
+        self.ends = np.zeros(max(words.values()) + 1, bool)
+        self.ends[[i for word, i in words.items() if word.endswith("</w>")]] = True
+
+    def _learn_pieces(self, new: list[str]) -> None:
+        ids = np.array(self.library.encode(" ".join(new), add_special_tokens=False).ids, "<u4")
+        stops = np.flatnonzero(self.ends[ids]) + 1
+        raw, low = ids.tobytes(), 0
+        for piece, high in zip(new, stops.tolist(), strict=True):
+            self.pieces[piece] = raw[4 * low : 4 * high]
+            low = high
+
+    def _learn(self, new: set[bytes]) -> None:
+        plain, other = {}, []
+        for run in new:
+            text = run.decode()
+            if max(text) <= "ÿ" and "<|" not in text:
+                plain[run] = _SPLIT(text.lower())
+            else:
+                other.append(run)
+        self.pieces.room()
+        if unknown := self.pieces.new({p for pieces in plain.values() for p in pieces}):
+            self._learn_pieces(list(unknown))
+        found = self.pieces.__getitem__
+        for run, pieces in plain.items():
+            self.runs[run] = b"".join(map(found, pieces))
+        for run, made in zip(other, self.library.encode_batch([r.decode() for r in other], add_special_tokens=False), strict=True):
+            self.runs[run] = np.array(made.ids, "<u4").tobytes()
+
+    def encode(self, texts: list[str]) -> list[bytes]:
+        """Ids of each text, with the end id, as little-endian 32-bit integers."""
+        split = [text.encode().split() for text in texts]
+        self.runs.room()
+        if new := self.runs.new(set().union(*split)):
+            self._learn(new)
+        found, end = self.runs.__getitem__, struct.pack("<I", END)
+        return [b"".join(map(found, runs)) + end for runs in split]
 
 
 def _encoder(path: str) -> WordEncoder:
@@ -79,7 +132,7 @@ def train_dictionary(docs: DataFrame, path: str) -> bytes:
     def encode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             tool = _encoder(path)
-            made = [tool.encode(t.as_py() or "")[:SAMPLE_BYTES] for t in batch.column(1)]
+            made = [ids[:SAMPLE_BYTES] for t in batch.column(1) for ids in tool.encode([t.as_py() or ""])]
             yield pa.RecordBatch.from_arrays([pa.array(made, pa.binary())], ["ids"])
 
     samples = sorted(bytes(r.ids) for r in sample.mapInArrow(encode, "ids binary").limit(2 * SAMPLE_ROWS).collect())
@@ -148,16 +201,18 @@ def write(docs: DataFrame, folder: str, path: str | None = None) -> None:
             return pa.RecordBatch.from_pylist([row], pa.schema(kinds))
 
         for batch in batches:
-            for at, doc_id, text in zip(*(batch.column(i) for i in range(3)), strict=True):
-                part = at.as_py()
-                ids = tool.encode(text.as_py() or "")
-                entries.append((doc_id.as_py(), len(ids) // 4))
-                frames.append(writer.compress(ids))
-                size += len(frames[-1])
-                if size >= CONTAINER_BYTES:
-                    yield full()
-                    first += len(entries)
-                    entries, frames, size = [], [], 0
+            for low in range(0, len(batch), TOGETHER):
+                some = batch.slice(low, TOGETHER)
+                part = some.column(0)[0].as_py()
+                encoded = tool.encode([t or "" for t in some.column(2).to_pylist()])
+                for doc_id, ids in zip(some.column(1).to_pylist(), encoded, strict=True):
+                    entries.append((doc_id, len(ids) // 4))
+                    frames.append(writer.compress(ids))
+                    size += len(frames[-1])
+                    if size >= CONTAINER_BYTES:
+                        yield full()
+                        first += len(entries)
+                        entries, frames, size = [], [], 0
         if entries:
             yield full()
 
@@ -182,6 +237,7 @@ def read(spark: SparkSession, folder: str) -> DataFrame:
     parts = parts.select("part", F.coalesce(F.sum("in_part").over(before([], "part")), F.lit(0)).alias("earlier"))
     starts = sizes.withColumn("inside", F.coalesce(F.sum("n_tokens").over(before(["part"], "first")), F.lit(0)))
     starts = starts.join(parts, "part").select("part", "first", (F.col("earlier") + F.col("inside")).alias("start"))
+    starts = stage(starts, "starts")  # its size is known then, and the images stay where they are while it is small
 
     def unpack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
