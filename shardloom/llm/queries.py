@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from shardloom.llm import byte_bpe, chat, licenses, mixing, quality, token_files
+from shardloom.llm import byte_bpe, chat, jaccard_join, licenses, mixing, quality, secrets, token_files, top_k
 from shardloom.llm.common import table
 from shardloom.plans.registry import query
 
@@ -116,3 +116,19 @@ def op4_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query()
 def op8_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_files.stored_digest(table(spark, sf_dir, "documents"))
+
+
+@query()
+def op3_exact_top_k(spark: SparkSession, sf_dir: str) -> DataFrame:
+    vectors = table(spark, sf_dir, "embeddings")
+    return top_k.search(vectors, vectors.filter("vec_id % 50 = 0"))
+
+
+@query()
+def op9_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return secrets.scan(table(spark, sf_dir, "documents"))
+
+
+@query()
+def op5_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return jaccard_join.linked(table(spark, sf_dir, "documents"))
