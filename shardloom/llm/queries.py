@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from shardloom.llm import byte_bpe, chat, jaccard_join, licenses, mixing, quality, secrets, token_files, top_k
+from shardloom.llm import byte_bpe, chat, jaccard_join, licenses, line_dedup, mixing, quality, secrets, token_files, top_k
 from shardloom.llm.common import table
 from shardloom.plans.registry import query
 
@@ -132,3 +132,8 @@ def op9_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query()
 def op5_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return jaccard_join.linked(table(spark, sf_dir, "documents"))
+
+
+@query()
+def op1_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return line_dedup.report(table(spark, sf_dir, "documents"))
