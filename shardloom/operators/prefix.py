@@ -107,14 +107,16 @@ def index_from_runs(
 ) -> DataFrame:
     """Positions from runs of consecutive `row` ids: one row per (group, run) is all that is summed up.
 
-    That table is stored and counted, so that df itself is not shuffled unless there are very many runs.
+    That table is stored and counted, so that df itself is not shuffled unless there are very many runs. Pass a
+    stored df: it is read twice, and a row whose run is missing is an error.
     """
     runs = df.groupBy(*group, run).agg(F.min(row).alias("_first"), F.count("*").alias("_n"))
     before = W.partitionBy(*group).orderBy(run).rowsBetween(W.unboundedPreceding, -1)
     runs = runs.withColumn("_before", F.coalesce(F.sum("_n").over(before), F.lit(0))).drop("_n")
     runs = stage(runs)
     return (
-        df.join(F.broadcast(runs) if runs.count() <= HEAD_ROWS else runs, [*group, run])
+        df.join(F.broadcast(runs) if runs.count() <= HEAD_ROWS else runs, [*group, run], "left")
+        .withColumn("_first", F.coalesce("_first", F.raise_error(F.lit("a row of an unknown run")).cast("bigint")))
         .withColumn(out, F.col(row) - F.col("_first") + F.col("_before"))
         .drop("_first", "_before")
     )

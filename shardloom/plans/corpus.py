@@ -18,7 +18,6 @@ from shardloom.session import new_path, stage
 from shardloom.streaming import packing as streaming
 
 SEED, STREAMS, EPOCHS = 7, 3, 2
-TOKEN_LIMIT = 10_000
 BATCH = 8
 
 
@@ -215,12 +214,12 @@ _IN_ORDER = f"""in_order AS (SELECT *, doc_no AS doc_i FROM tokens), {packed("sh
 
 @query(f"""WITH {TOKENS}, {_IN_ORDER}
 SELECT shard, block_no, (block_no + 1) * {LENGTH} AS tokens_seen, md5(array_to_string(tokens, ' ')) AS digest
-FROM blocks WHERE (block_no + 1) * {LENGTH} <= {TOKEN_LIMIT}""")
+FROM blocks""")
 def token_counter(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Documents in file order, up to a token limit per shard."""
+    """All blocks of documents in file order, with the tokens seen so far in the shard."""
     docs = ordering.place_in_chunks(tables.tokens(spark, sf_dir))
     blocks = packing.pack(docs, ["shard"], ["doc_no"], LENGTH)
-    counted = packing.limit_tokens(blocks, LENGTH, TOKEN_LIMIT)
+    counted = packing.limit_tokens(blocks, LENGTH)
     return counted.select("shard", "block_no", "tokens_seen", digest("tokens").alias("digest"))
 
 

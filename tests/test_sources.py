@@ -128,3 +128,23 @@ def test_iso_times(spark):
     times = [datetime.datetime(2021, 4, 11, 1, 2, 3), datetime.datetime(2021, 4, 11, 1, 2, 3, 45)]
     df = spark.createDataFrame([(t,) for t in times], "t timestamp_ntz")
     assert [r.s for r in df.select(writers.iso_timestamp("t").alias("s")).collect()] == [t.isoformat() for t in times]
+
+
+def test_lines_survive_other_file_splits(spark, tmp_path):
+    """Counts and lines come from one scan, so a cluster that grows in between changes nothing."""
+    from shardloom.sources.readers import read_lines
+
+    path = tmp_path / "many.txt"
+    path.write_text("".join(f"line {i} {'x' * 40}\n" for i in range(120_000)))
+    old = {k: spark.conf.get(k) for k in ("spark.sql.files.maxPartitionBytes", "spark.sql.files.openCostInBytes")}
+    try:
+        spark.conf.set("spark.sql.files.openCostInBytes", "1k")
+        spark.conf.set("spark.sql.files.maxPartitionBytes", "1m")
+        lines = read_lines(spark, str(path))
+        spark.conf.set("spark.sql.files.maxPartitionBytes", "300k")
+        rows = lines.select("doc_no", "text").collect()
+    finally:
+        for k, v in old.items():
+            spark.conf.set(k, v)
+    assert sorted(r.doc_no for r in rows) == list(range(120_000))
+    assert all(r.text.startswith(f"line {r.doc_no} ") for r in rows)
