@@ -203,4 +203,5 @@ def linked(docs: DataFrame, width: int = SHINGLE, percent: int = PERCENT) -> Dat
 def keep_first(docs: DataFrame, width: int = SHINGLE, percent: int = PERCENT) -> DataFrame:
     """The documents without all but the first of each component, with all their columns."""
     gone = linked(docs, width, percent).filter("doc_id <> component_id").select(F.col("doc_id").alias("_gone")).distinct()
-    return docs.join(stage(gone, "gone"), F.col("doc_id") == F.col("_gone"), "left_anti")
+    gone = stage(gone, "gone")
+    return docs.join(gone, docs["doc_id"] == gone["_gone"], "left_anti")

@@ -131,12 +131,14 @@ def mix(docs: DataFrame, **options) -> DataFrame:
     takes = F.sort_array(F.collect_list(F.struct("_passes", "_part_words", "size")), asc=False)
     plans = plan(docs, **options).groupBy(*IDENTITY).agg(takes.alias("_takes"))
     same = W.partitionBy(*IDENTITY).orderBy(F.lit(0))
-    rows = docs.select("*", *_identity()).withColumn("_copy", F.row_number().over(same))
+    given = F.struct(*[F.col(c) for c in docs.columns]).alias("_given")  # so that no name of theirs meets one of ours
+    rows = docs.select(given, *_identity()).withColumn("_copy", F.row_number().over(same))
     take = F.element_at("_takes", F.col("_copy"))
     words = F.concat(
         F.transform(F.sequence(F.lit(1), F.lit(options.get("most_epochs", 3))), lambda i: F.when(i <= take["_passes"], take["size"])),
         F.array(F.when(take["_part_words"] > 0, take["_part_words"])),
     )
-    given = rows.join(plans, [*IDENTITY]).withColumn("_size", take["size"]).withColumn("_words", F.explode(F.array_compact(words)))
-    text = F.when(F.col("_words") < F.col("_size"), first_words(F.col("text"), F.col("_words"))).otherwise(F.col("text"))
-    return given.select(*[(text.alias(c) if c == "text" else F.col(c)) for c in docs.columns])
+    taken = rows.join(plans, [*IDENTITY]).withColumn("_size", take["size"]).withColumn("_words", F.explode(F.array_compact(words)))
+    text = F.col("_given")["text"]
+    text = F.when(F.col("_words") < F.col("_size"), first_words(text, F.col("_words"))).otherwise(text)
+    return taken.select(*[(text if c == "text" else F.col("_given")[c]).alias(c) for c in docs.columns])

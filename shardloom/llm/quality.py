@@ -165,7 +165,7 @@ def train(docs: DataFrame, labels: DataFrame, rows: int = TRAINING_ROWS) -> Mode
     order = [F.xxhash64(F.col("doc_id").cast("bigint")), F.col("doc_id")]
     kinds = [known.filter(kind).orderBy(*order).limit(rows) for kind in ("quality > 0", "quality <= 0")]
     sample = kinds[0].union(kinds[1]).select(F.col("doc_id").alias("_labelled"), F.col("quality").alias("_quality"))
-    texts = docs.join(F.broadcast(sample), F.col("doc_id") == F.col("_labelled")).select("doc_id", "_quality", "text")
+    texts = docs.select("doc_id", "text").join(F.broadcast(sample), F.col("doc_id") == F.col("_labelled")).select("doc_id", "_quality", "text")
     send(__name__)
 
     def profiles(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

@@ -127,7 +127,7 @@ def train_dictionary(docs: DataFrame, path: str) -> bytes:
     send(__name__)
     ids = docs.filter("doc_id is not null").select(F.col("doc_id").cast("bigint").alias("_sampled"))
     ids = ids.orderBy(F.xxhash64("_sampled"), "_sampled").limit(SAMPLE_ROWS).distinct()
-    sample = docs.join(F.broadcast(ids), F.col("doc_id") == F.col("_sampled")).select("doc_id", "text")
+    sample = docs.select("doc_id", "text").join(F.broadcast(ids), F.col("doc_id") == F.col("_sampled")).select("doc_id", "text")
 
     def encode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
