@@ -28,7 +28,7 @@ SHORTEST_VALUE = 6
 #: Labelled samples: so many documents with base matches, and so many of any kind, those with the smallest hashed ids.
 SAMPLE_DOCS = 2_000
 THRESHOLD = 1.0  # nats per step
-SMOOTHING = 0.5
+SMOOTHING, BACK_OFF = 0.5, 5.0
 
 
 def _passes(kind: str, match: Column) -> Column:
@@ -67,14 +67,18 @@ def train(docs: DataFrame) -> list[float]:
     plain = F.regexp_replace("text", "|".join(KINDS[k] for k in BASE), " ")
     words = _sample(narrow).select(F.explode(F.regexp_extract_all(plain, F.lit(r"[A-Za-z][A-Za-z0-9_-]*"), F.lit(0))).alias("s"))
     random, ordinary = ({r.pair: r.n for r in _steps(s).collect()} for s in (secrets, words))
-    size, table = len(ALPHABET), []
+    seen, usual = _probabilities(random), _probabilities(ordinary)
+    return [math.log(0.5 * r + 0.5 / len(ALPHABET)) - math.log(o) for r, o in zip(seen, usual, strict=True)]
+
+
+def _probabilities(pairs: dict[str, int]) -> list[float]:
+    """Chances of each character after each other, row by row; rare rows lean on how frequent the character is at all."""
+    single = {b: sum(pairs.get(a + b, 0) for a in ALPHABET) + SMOOTHING for b in ALPHABET}
+    total = sum(single.values())
+    table = []
     for a in ALPHABET:
-        from_random = sum(random.get(a + b, 0) for b in ALPHABET)
-        from_ordinary = sum(ordinary.get(a + b, 0) for b in ALPHABET)
-        for b in ALPHABET:
-            seen = (random.get(a + b, 0) + SMOOTHING) / (from_random + SMOOTHING * size)
-            usual = (ordinary.get(a + b, 0) + SMOOTHING) / (from_ordinary + SMOOTHING * size)
-            table.append(math.log(0.5 * seen + 0.5 / size) - math.log(usual))
+        row = sum(pairs.get(a + b, 0) for b in ALPHABET)
+        table += [(pairs.get(a + b, 0) + BACK_OFF * single[b] / total) / (row + BACK_OFF) for b in ALPHABET]
     return table
 
 
