@@ -20,6 +20,8 @@ from shardloom.llm.common import sha256_hex
 
 ALPHABET = "ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789+/_=-"
 RUN = r"(?<![A-Za-z0-9+/_=-])[A-Za-z0-9+/_=-]{20,}"
+#: Runs too short to be looked at; the others are what is to be told apart, so they have no label.
+ORDINARY = r"(?<![A-Za-z0-9+/_=-])[A-Za-z][A-Za-z0-9_-]{0,18}(?![A-Za-z0-9+/_=-])"
 ASSIGN = r"""(?i:(password|passwd|secret|token|api_?key))["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)"""
 #: Kinds in the order in which spans with one start are listed; a run of at least so many is the same as a run that is long enough.
 KINDS = {"assign": ASSIGN, "access": r"AKIA[A-Z0-9]{16,}", "hex": r"(?<![0-9a-f])[0-9a-f]{24,}", "random": RUN}
@@ -65,7 +67,7 @@ def train(docs: DataFrame) -> list[float]:
     )
     secrets = secrets.filter(F.length("s") >= 16).select(F.regexp_replace("s", r"[^A-Za-z0-9+/_=-]", "").alias("s"))
     plain = F.regexp_replace("text", "|".join(KINDS[k] for k in BASE), " ")
-    words = _sample(narrow).select(F.explode(F.regexp_extract_all(plain, F.lit(r"[A-Za-z][A-Za-z0-9_-]*"), F.lit(0))).alias("s"))
+    words = _sample(narrow).select(F.explode(F.regexp_extract_all(plain, F.lit(ORDINARY), F.lit(0))).alias("s"))
     random, ordinary = ({r.pair: r.n for r in _steps(s).collect()} for s in (secrets, words))
     seen, usual = _probabilities(random), _probabilities(ordinary)
     return [math.log(0.5 * r + 0.5 / len(ALPHABET)) - math.log(o) for r, o in zip(seen, usual, strict=True)]
