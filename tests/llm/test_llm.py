@@ -168,7 +168,7 @@ def test_token_files(spark, docs):
 
 def test_secrets(spark):
     random_key = "Zx9Kq2Lw8Vb3Tn7Rm4Yc6Ph1"
-    plain = "the house and the garden are near a road that leads to the town " * 30
+    plain = "the international organization of an inner committee realizes the commission on the garden near a road " * 30
     rows = [(1, f"é Password = 'abcdef' {plain}"), (2, f"id {random_key} end {plain}"), (3, None), (4, f"AKIA{'A1' * 8} {'0a' * 12} token=abc")]
     rows += [(i, plain + "aninternationalizationcommittee ") for i in range(5, 9)]
     got = {r.doc_id: r for r in secrets.scan(spark.createDataFrame(rows, "doc_id bigint, text string")).collect()}
