@@ -58,11 +58,14 @@ def map_items(
         return rows.select(*key, replaced.alias(out))
     value = table.schema["value"].dataType
     missing = F.lit(default).cast(value) if default != [] else F.array().cast(value)
-    parts = rows.select(*key, F.posexplode_outer(items).alias("_pos", "item"))
-    found = lookup(parts, ["item"], table, F.struct(*key, "_pos"))
-    entry = F.when(F.col("_pos").isNotNull(), F.struct("_pos", F.coalesce("value", missing).alias("value")))
-    collected = F.array_sort(F.collect_list(entry))
-    return found.groupBy(*key).agg(F.transform(collected, lambda e: e["value"]).alias(out))
+    # Rows with equal keys stay apart, and a null in the table is a value, as in the array form.
+    numbered = rows.select(*key, F.monotonically_increasing_id().alias("_row"), items)
+    parts = numbered.select(*key, "_row", F.posexplode_outer(items).alias("_pos", "item"))
+    found = lookup(parts, ["item"], table.withColumn("_known", F.lit(True)), F.struct("_row", "_pos"))
+    mapped = F.when(F.col("_known"), F.col("value")).otherwise(missing)
+    entry = F.when(F.col("_pos").isNotNull(), F.struct("_pos", mapped.alias("value")))
+    collected = F.sort_array(F.collect_list(entry))
+    return found.groupBy(*key, "_row").agg(F.transform(collected, lambda e: e["value"]).alias(out)).drop("_row")
 
 
 def _replacer(table: DataFrame, default: object):

@@ -265,14 +265,11 @@ def collate(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def _sequence(spark: SparkSession, sf_dir: str, split: str) -> DataFrame:
-    """Sequence numbers of a split's blocks from token counts alone, without packing."""
-    docs = tables.tokens(spark, sf_dir).filter(F.col("split") == split).select("shard", "n", F.lit(0).alias("stream"))
-    counts = packing.count_blocks(docs, ["stream", "shard"], LENGTH)
-    names = tables.shards(spark, sf_dir).filter(F.col("split") == split)
-    offsets = ordering.stream_offsets(counts, ordering.shard_order(names, 1))
-    blocks = counts.filter("n_blocks > 0").select("stream", "shard", F.explode(F.sequence(F.lit(0), F.col("n_blocks") - 1)).alias("block_no"))
-    mixed = ordering.interleave(blocks, stage(offsets, "stream-offsets"), 1)
-    return mixed.select("mix_seq", F.col("pass_blocks").alias("n_blocks"))
+    """Sequence numbers of a split's blocks from token counts alone: one stream numbers its blocks without gaps."""
+    docs = tables.tokens(spark, sf_dir).filter(F.col("split") == split).select("shard", "n")
+    counts = packing.count_blocks(docs, ["shard"], LENGTH)
+    n_blocks = counts.agg(F.coalesce(F.sum("n_blocks"), F.lit(0)).cast("bigint")).first()[0]
+    return spark.range(n_blocks).select(F.col("id").alias("mix_seq"), F.lit(n_blocks).cast("bigint").alias("n_blocks"))
 
 
 def _counts_sql(*splits_: str) -> str:
@@ -374,6 +371,6 @@ def corpus_summary(spark: SparkSession, sf_dir: str) -> DataFrame:
     """From documents to full batches, one row per shard."""
     docs = tables.tokens(spark, sf_dir)
     sizes = docs.groupBy("split", "shard").agg(F.count("*").alias("n_docs"), F.sum("n").alias("n_tokens"))
-    made = _packed_words(spark, sf_dir).groupBy("shard").agg(F.count("*").alias("n_blocks"))
+    made = packing.count_blocks(docs.select("shard", "n"), ["shard"], LENGTH).select("shard", "n_blocks")  # from lengths: no token is read
     joined = sizes.join(made, "shard", "left").fillna(0, ["n_blocks"])
     return joined.select("split", "shard", "n_docs", "n_tokens", "n_blocks", div("n_blocks", BATCH).alias("n_batches"))

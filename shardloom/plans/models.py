@@ -5,17 +5,18 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from shardloom.functions.text import EOS, digest, words, wrap
+from shardloom.functions.text import EOS, byte_level_words, bytes_to_text, digest, words, wrap
 from shardloom.operators import bpe, corpus_lm, encode, ordering, packing
-from shardloom.operators.prefix import prefix_agg
+from shardloom.operators.prefix import ordered_index
 from shardloom.plans import tables
 from shardloom.plans.registry import query
 from shardloom.plans.sql import TOKENS, packed, shuffled
 from shardloom.plans.tables import CHUNK_DOCS, LENGTH, stager, stored
-from shardloom.session import stage
+from shardloom.session import new_path, stage
+from shardloom.sources import readers
 
 BPE_VOCAB = 256  # a small vocabulary keeps the queries short; the trainer's own default is 30,000
-BUDGETS = [1_024, 4_096, 16_384]
+BUDGETS = [1_024, 4_096, 16_384, 0]  # 0: all tokens
 SOURCE_LANG = "en"
 _TRAINED: dict[tuple[str, str], tuple] = {}
 
@@ -80,11 +81,34 @@ def encode_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return docs.select("doc_id", F.size("ids").cast("bigint").alias("n_ids"), digest("ids").alias("digest"))
 
 
-@query(f"""WITH {TOKENS} SELECT doc_id, md5(array_to_string(list_filter(tokens, lambda t: t <> '{EOS}'), '')) AS digest FROM tokens""")
+@query(f"""WITH RECURSIVE {_BPE},
+last AS (SELECT pieces, symbols FROM state WHERE k = (SELECT max(k) FROM state)),
+segmented AS (SELECT unnest((SELECT list(token ORDER BY token) FROM spelled)) AS token, unnest(symbols) AS word, pieces FROM last),
+pieced AS (SELECT token, array_to_string(list_transform(string_split(word, ''), lambda c: pieces[ord(c) - 65535]), ' ') AS text FROM segmented)
+SELECT doc_id, md5(coalesce(string_agg(text, ' ' ORDER BY i), '')) AS digest
+FROM (SELECT doc_id, unnest(tokens) AS token, unnest(range(len(tokens))) AS i FROM tokens) t LEFT JOIN pieced USING (token)
+GROUP BY doc_id""")
 def decode_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Pieces put together again spell the words."""
+    """Pieces with spaces between, as a tokenizer without a decoder puts them together."""
     pieces = bpe.piece_table(spark, _trained(spark, sf_dir)[0])
-    text = bpe.decode_pieces(_bpe_ids(spark, sf_dir), ["doc_id"], pieces)
+    text = bpe.decode_pieces(_bpe_ids(spark, sf_dir), ["doc_id"], pieces, joiner=" ")
+    return text.select("doc_id", F.md5("text").alias("digest"))
+
+
+@query("SELECT doc_id, md5(text) AS digest FROM documents")
+def byte_level_round_trip(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Byte-level pieces are learned and stored as vocabulary and merges files; with these, texts are encoded and decoded."""
+    docs = tables.documents(spark, sf_dir).select("doc_id", byte_level_words("text").alias("tokens"))
+    counts = stage(docs.select(F.explode("tokens").alias("token")).groupBy("token").agg(F.count("*").alias("n")), "byte-words")
+    pieces, merges, _ = bpe.train(counts, stager("byte-bpe"), vocab_size=BPE_VOCAB)
+    vocab_path, merges_path = new_path(spark, "byte-vocab"), new_path(spark, "byte-merges")
+    bpe.save_vocab_and_merges(spark, vocab_path, merges_path, pieces, merges)
+    ids = {r.token: r.id for r in readers.read_vocab_json(spark, vocab_path).collect()}
+    stored_merges = [(r.left, r.right) for r in readers.read_merges(spark, merges_path).orderBy("merge_no").collect()]
+    segmented = stage(bpe.segment(counts, stored_merges, ids).join(counts, "token"), "byte-segmented")
+    encoded = bpe.encode_pieces(docs, ["doc_id"], segmented)
+    table = bpe.piece_table(spark, sorted(ids, key=ids.get))
+    text = bpe.decode_pieces(encoded, ["doc_id"], table).select("doc_id", bytes_to_text("text").alias("text"))
     return text.select("doc_id", F.md5("text").alias("digest"))
 
 
@@ -123,10 +147,10 @@ def language_blocks(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Blocks per language and split, documents in doc_id order: a language's split is one long file."""
 
     def build() -> DataFrame:
-        docs = tables.tokens(spark, sf_dir).drop("doc_no").withColumn("one", F.lit(1))
+        docs = tables.tokens(spark, sf_dir).drop("doc_no")
         scope = ["lang", "split"]
-        numbered = prefix_agg(docs.select(*scope, "doc_id", "one"), scope, "doc_id", {"doc_no": ("sum", "one")})
-        placed = ordering.place_in_chunks(docs.join(numbered.drop("one"), [*scope, "doc_id"]))
+        numbered = ordered_index(docs.select(*scope, "doc_id"), scope, ["doc_id"], "doc_no", stager("language-docs"))
+        placed = ordering.place_in_chunks(docs.join(numbered, [*scope, "doc_id"]))
         return packing.pack(placed, scope, ["doc_no"], LENGTH).drop("trigger")
 
     return stored(spark, sf_dir, "language-blocks", build)
@@ -144,33 +168,37 @@ models AS (
   SELECT lang, budget, init FROM (SELECT DISTINCT lang FROM blocks WHERE lang <> '{SOURCE_LANG}')
   CROSS JOIN (SELECT unnest({BUDGETS}) AS budget) CROSS JOIN (SELECT unnest(['scratch', 'pretrained']) AS init)),
 seen AS (
-  SELECT m.lang, m.budget, m.init, b.tokens FROM models m JOIN blocks b ON b.split = 'train' AND (
-    (b.lang = m.lang AND b.block_no < m.budget // {LENGTH}) OR (m.init = 'pretrained' AND b.lang = '{SOURCE_LANG}'))),
+  SELECT m.lang, m.budget, m.init, b.lang = m.lang AS own, b.tokens FROM models m JOIN blocks b ON b.split = 'train' AND (
+    (b.lang = m.lang AND (m.budget <= 0 OR b.block_no < m.budget // {LENGTH})) OR (m.init = 'pretrained' AND b.lang = '{SOURCE_LANG}'))),
+counted AS (SELECT lang, budget, init, coalesce(sum(len(tokens)) FILTER (WHERE own), 0)::BIGINT AS n_tokens FROM seen GROUP BY ALL),
 c1 AS (SELECT lang, budget, init, x, count(*) AS c1 FROM (SELECT lang, budget, init, unnest(tokens) AS x FROM seen) GROUP BY ALL),
 c2 AS (SELECT lang, budget, init, tokens[i] AS y, tokens[i + 1] AS x, count(*) AS c2
        FROM (SELECT *, unnest(range(1, len(tokens))) AS i FROM seen) GROUP BY ALL),
 ctx AS (SELECT lang, budget, init, y, sum(c2) AS ctx FROM c2 GROUP BY ALL),
 size AS (SELECT lang, budget, init, sum(c1) AS total, count(*) AS kinds FROM c1 GROUP BY ALL),
-scored AS (SELECT lang, y, x, count(*) AS n FROM pairs WHERE split = 'val' GROUP BY ALL),
+scored AS (SELECT lang, split, y, x, count(*) AS n FROM pairs WHERE split <> 'train' GROUP BY ALL),
 rated AS (
-  SELECT m.lang, m.budget, m.init, n, (coalesce(c1, 0) + 1)::DOUBLE / (total + kinds + 1) AS p1, c2, ctx
+  SELECT m.lang, s.split, m.budget, m.init, n, (coalesce(c1, 0) + 1)::DOUBLE / (total + kinds + 1) AS p1, c2, ctx
   FROM scored s JOIN models m USING (lang) JOIN size USING (lang, budget, init)
   LEFT JOIN c1 USING (lang, budget, init, x) LEFT JOIN ctx USING (lang, budget, init, y) LEFT JOIN c2 USING (lang, budget, init, y, x)),
 losses AS (
-  SELECT lang, budget, init,
+  SELECT lang, split, budget, init, n_tokens,
          sum(n * -ln(CASE WHEN ctx > 0 THEN 0.5::DOUBLE * coalesce(c2, 0) / ctx + 0.5::DOUBLE * p1 ELSE p1 END)) / sum(n) AS loss
-  FROM rated GROUP BY lang, budget, init)"""
+  FROM rated JOIN counted USING (lang, budget, init) GROUP BY lang, split, budget, init, n_tokens)"""
 
 
-@query(f"WITH {_TRANSFERS} SELECT lang, budget::BIGINT AS budget, init, round(loss, 6) AS loss FROM losses")
+@query(f"WITH {_TRANSFERS} SELECT lang, split, budget::BIGINT AS budget, init, n_tokens, round(loss, 6) AS loss FROM losses")
 def transfer_loss(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return transfers(spark, sf_dir).select("lang", "budget", "init", F.round("loss", 6).alias("loss"))
+    """Held-out loss for each budget of target tokens; budget 0 is all of them."""
+    return transfers(spark, sf_dir).select("lang", "split", "budget", "init", "n_tokens", F.round("loss", 6).alias("loss"))
 
 
-@query(f"""WITH {_TRANSFERS}
-SELECT lang, init, round(regr_slope(ln(loss), ln(budget)), 6) AS slope, round(regr_intercept(ln(loss), ln(budget)), 6) AS intercept,
-       count(*) AS n_budgets
-FROM losses GROUP BY lang, init""")
+@query(f"""WITH {_TRANSFERS},
+points AS (SELECT lang, split, init, n_tokens, min(loss) AS loss FROM losses WHERE n_tokens > 0 GROUP BY ALL)
+SELECT lang, split, init, round(regr_slope(ln(loss), ln(n_tokens)), 6) AS slope,
+       round(regr_intercept(ln(loss), ln(n_tokens)), 6) AS intercept, count(*) AS n_points
+FROM points GROUP BY lang, split, init""")
 def scaling_fit(spark: SparkSession, sf_dir: str) -> DataFrame:
     fit = corpus_lm.scaling_fit(transfers(spark, sf_dir))
-    return fit.select("lang", "init", "n_budgets", F.round("slope", 6).alias("slope"), F.round("intercept", 6).alias("intercept"))
+    rounded = [F.round(c, 6).alias(c) for c in ("slope", "intercept")]
+    return fit.select("lang", "split", "init", "n_points", *rounded)

@@ -70,7 +70,7 @@ def vocab_text(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query(f"WITH {VOCAB} SELECT token, id FROM vocab")
 def vocab_json(spark: SparkSession, sf_dir: str) -> DataFrame:
     path = new_path(spark, "vocab-json")
-    writers.write_vocab_json(tables.vocab(spark, sf_dir), path)
+    writers.write_vocab_json(tables.vocab(spark, sf_dir), path, per_file=100_000)
     return readers.read_vocab_json(spark, path)
 
 

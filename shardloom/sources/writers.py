@@ -47,10 +47,14 @@ def write_jsonl(lines: DataFrame, path: str, compression: str = "zstd") -> None:
         lines.toDF("value").write.mode("append").option("compression", compression).text(path)
 
 
-def write_vocab_json(vocab: DataFrame, path: str, per_file: int = 100_000) -> None:
-    """JSON objects of token -> id, one file per `per_file` ids: a single object unless the vocabulary is larger."""
+def write_vocab_json(vocab: DataFrame, path: str, per_file: int | None = None) -> None:
+    """JSON objects of token -> id: a single one, or by choice one per `per_file` ids, each in its own file.
+
+    The single object is what other tools read, and is made in one task: its size is the caller's to know.
+    """
     entries = F.collect_list(F.struct("token", F.col("id").cast("bigint")))
-    objects = vocab.groupBy(div("id", per_file).alias("part")).agg(F.to_json(F.map_from_entries(entries)).alias("value"))
+    part = div("id", per_file) if per_file else F.lit(0).cast("bigint")
+    objects = vocab.groupBy(part.alias("part")).agg(F.to_json(F.map_from_entries(entries)).alias("value"))
     objects.write.partitionBy("part").text(path)
 
 
@@ -100,8 +104,7 @@ class _ZstdWriter(DataSourceArrowWriter):
         with files.open_output_stream(part.staged, compression=None) as sink:
             with zstandard.ZstdCompressor(level=self.level).stream_writer(sink, closefd=False) as out:
                 for batch in iterator:
-                    for line in batch.column(0).cast(pa.binary()):
-                        out.write(line.as_py() + b"\n")
+                    out.write(b"".join(line + b"\n" for line in batch.column(0).cast(pa.binary()).to_pylist()))
         return part
 
     def commit(self, messages: list[WriterCommitMessage | None]) -> None:

@@ -73,10 +73,12 @@ def test_training_equals_the_tokenizers_library(spark, stager):
 
 @pytest.mark.parametrize("limit", [0, 1000])
 def test_map_items_both_ways(spark, limit):
-    rows = spark.createDataFrame([(1, ["a", "b", "z"]), (2, []), (3, ["b"] * 5)], "k int, items array<string>")
-    table = spark.createDataFrame([("a", 10, True), ("b", 20, False)], "item string, value bigint, hot boolean")
+    items = [(1, ["a", "b", "z"]), (2, []), (3, ["b"] * 5), (4, ["a"]), (4, ["b"]), (5, ["n", "z"]), (6, None)]
+    rows = spark.createDataFrame(items, "k int, items array<string>")
+    table = spark.createDataFrame([("a", 10, True), ("b", 20, False), ("n", None, False)], "item string, value bigint, hot boolean")
     got = map_items(rows, ["k"], "items", table, -1, "ids", map_side_rows=limit).collect()
-    assert {r.k: r.ids for r in got} == {1: [10, 20, -1], 2: [], 3: [20] * 5}
+    want = [(1, [10, 20, -1]), (2, []), (3, [20] * 5), (4, [10]), (4, [20]), (5, [None, -1]), (6, [])]
+    assert sorted(((r.k, r.ids) for r in got), key=str) == sorted(want, key=str)
 
 
 def test_lookup_with_head_and_tail(spark):
@@ -103,6 +105,9 @@ def test_bpe_round_trip(spark, stager):
     ids = bpe.encode_pieces(docs.withColumn("tokens", words("text")), ["doc"], segmented)
     text = bpe.decode_pieces(ids, ["doc"], bpe.piece_table(spark, pieces))
     assert {r.doc: r.text for r in text.collect()} == {1: "lowlowerlowest", 2: "newerwiderlowlow"}
+    library = Tokenizer(models.BPE({p: i for i, p in enumerate(pieces)}, merges))
+    spaced = bpe.decode_pieces(ids, ["doc"], bpe.piece_table(spark, pieces), joiner=" ")
+    assert {r.doc: r.text for r in spaced.collect()} == {r.doc: library.decode(r.ids) for r in ids.collect()}
     again = bpe.segment(segmented, merges, {p: i for i, p in enumerate(pieces)})
     assert {r.token: r.ids for r in again.collect()} == {r.token: r.ids for r in segmented.collect()}
 
