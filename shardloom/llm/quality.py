@@ -113,12 +113,12 @@ def _logistic(x: np.ndarray) -> np.ndarray:
 
 
 def _descend(x: np.ndarray, y: np.ndarray, weight: np.ndarray, ridge: float, rounds: int) -> tuple[np.ndarray, float]:
-    """Accelerated gradient descent on the weighted logistic loss."""
-    step = 4.0 / max(float(weight @ (1 + (x * x).sum(1))), 1e-9)
+    """Accelerated gradient descent on the weighted logistic loss; products are taken in x's own type, so x is not copied."""
+    step = 4.0 / max(float(weight @ (1 + np.einsum("ij,ij->i", x, x))), 1e-9)
     w, vw, b, vb = np.zeros(x.shape[1]), np.zeros(x.shape[1]), 0.0, 0.0
     for k in range(rounds):
-        error = weight * (_logistic(x @ vw + vb) - y)
-        nw, nb = vw - step * (x.T @ error + ridge * vw), vb - step * error.sum()
+        error = weight * (_logistic(x @ vw.astype(x.dtype) + vb) - y)
+        nw, nb = vw - step * (x.T @ error.astype(x.dtype) + ridge * vw), vb - step * error.sum()
         speed = k / (k + 3)
         vw, vb, w, b = nw + speed * (nw - w), nb + speed * (nb - b), nw, nb
     return w, float(b)
@@ -137,9 +137,13 @@ def fit(profiles: np.ndarray, good: np.ndarray, prior: float, ridge: float = 1e-
         train = held
     else:
         train = ~held
-    mean, spread = profiles[train].mean(0), profiles[train].std(0) + 1e-4
-    x, y = (profiles[train] - mean) / spread, good[train].astype(np.float64)
+    x, y = profiles[train], good[train].astype(np.float64)
+    mean = x.mean(0, dtype=np.float64)
+    x -= mean.astype(x.dtype)
+    spread = np.sqrt(np.einsum("ij,ij->j", x, x) / len(x)).astype(np.float64) + 1e-4
+    x /= spread.astype(x.dtype)
     w, b = _descend(x, y, np.where(y > 0, 0.5 / y.sum(), 0.5 / (1 - y).sum()), ridge, rounds)
+    del x
     weights = w / spread
     model = Model(weights.reshape(FAMILIES, -1), b - float(mean @ weights), 1.0, 0.0)
 
@@ -177,10 +181,11 @@ def train(docs: DataFrame, labels: DataFrame, rows: int = TRAINING_ROWS) -> Mode
     found = found.mapInArrow(profiles, "doc_id bigint, quality int, profile binary").toPandas()
     if found.empty:
         return None
-    found = found.sort_values(["doc_id", "profile"]).reset_index(drop=True)
-    matrix = np.stack([np.frombuffer(p, np.float32) for p in found["profile"]]).astype(np.float64)
-    shuffled = np.random.default_rng(0).permutation(len(found))
-    return fit(matrix[shuffled], (found["quality"].to_numpy() > 0)[shuffled], n[1] / (n[0] + n[1]))
+    found = found.sort_values(["doc_id", "profile"]).iloc[np.random.default_rng(0).permutation(len(found))]
+    good = found["quality"].to_numpy() > 0
+    matrix = np.stack([np.frombuffer(p, np.float32) for p in found["profile"]])
+    del found  # the driver holds the sample once, and once more the rows that are trained on
+    return fit(matrix, good, n[1] / (n[0] + n[1]))
 
 
 def counts(text: str) -> tuple[int, int, int, int, int]:
