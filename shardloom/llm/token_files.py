@@ -17,6 +17,7 @@ import hashlib
 import re
 import struct
 from collections.abc import Iterator
+from itertools import filterfalse
 
 import numpy as np
 import pyarrow as pa
@@ -25,6 +26,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window as W
 from tokenizers import Tokenizer
+from tokenizers.pre_tokenizers import ByteLevel, Sequence, WhitespaceSplit
 
 from shardloom.llm.common import once, send, tokenizer_file
 from shardloom.session import new_path, stage
@@ -54,7 +56,7 @@ class Remembered(dict):
         return value
 
     def new(self, keys: set) -> set:
-        return {k for k in keys if k not in self and k not in self.older}
+        return set(filterfalse(self.older.__contains__, filterfalse(self.__contains__, keys)))
 
     def room(self) -> None:
         """To be called between uses: the younger generation grows old."""
@@ -78,13 +80,17 @@ class WordEncoder:
 
     def __init__(self, path: str):
         self.library = Tokenizer.from_file(path)
+        self.ready = Tokenizer.from_file(path)  # for pieces, which its normaliser and splitter would leave as they are
+        self.ready.normalizer = None
+        self.ready.pre_tokenizer = Sequence([WhitespaceSplit(), ByteLevel(add_prefix_space=False, use_regex=False)])
         self.runs, self.pieces = Remembered(), Remembered()
         words = self.library.get_vocab()
         self.ends = np.zeros(max(words.values()) + 1, bool)
         self.ends[[i for word, i in words.items() if word.endswith("</w>")]] = True
 
     def _learn_pieces(self, new: list[str]) -> None:
-        ids = np.array(self.library.encode(" ".join(new), add_special_tokens=False).ids, "<u4")
+        made = self.ready.encode_batch_fast([" ".join(new)], add_special_tokens=False)[0]  # without offsets
+        ids = np.array(made.ids, "<u4")
         stops = np.flatnonzero(self.ends[ids]) + 1
         raw, low = ids.tobytes(), 0
         for piece, high in zip(new, stops.tolist(), strict=True):
@@ -95,7 +101,9 @@ class WordEncoder:
         plain, other = {}, []
         for run in new:
             text = run.decode()
-            if max(text) <= "ÿ" and "<|" not in text:
+            if run.isalpha():  # A-Z and a-z alone are one piece
+                plain[run] = (text.lower(),)
+            elif (run.isascii() or max(text) <= "ÿ") and "<|" not in text:
                 plain[run] = _SPLIT(text.lower())
             else:
                 other.append(run)
