@@ -11,8 +11,9 @@ table gives no rows. Long texts and long pieces cost linear time.
 from __future__ import annotations
 
 import hashlib
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
+import numpy as np
 import public_tokenizers
 import pyarrow as pa
 import regex
@@ -23,6 +24,7 @@ from shardloom.llm.common import byte_ranks, once, send, tokenizer_file
 VOCABULARY = "byte_bpe_multi_50k.tiktoken"
 #: Most pieces, and most pairs of tokens, that a process remembers; only speed depends on it.
 REMEMBERED = 500_000
+TOGETHER = 64  # texts whose ids are held at a time
 NEVER = 1 << 62
 
 
@@ -184,40 +186,44 @@ class Encoder(dict):
         return b"".join(map(self.decimal.__getitem__, ids.split(","))) if ids else b""
 
 
-def _map(docs: DataFrame, schema: str, row, kinds: list[pa.DataType], path: str | None) -> DataFrame:
+def _map(docs: DataFrame, schema: str, columns: Callable[[Encoder, list[str]], list[pa.Array]], path: str | None) -> DataFrame:
+    """doc_id with what `columns` makes of a few texts at a time, so a task never holds the ids of a whole batch."""
     send(__name__)
     path = path or tokenizer_file(VOCABULARY)
+    names = [f.split()[0] for f in schema.split(", ")]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         tool = once(("byte_bpe", path), lambda: Encoder(path))
         for batch in batches:
-            made = [row(tool, text.as_py() or "") for text in batch.column(1)]
-            columns = zip(*made, strict=True) if made else [[] for _ in kinds]
-            arrays = [pa.array(list(c), kind) for c, kind in zip(columns, kinds, strict=True)]
-            names = [f.split()[0] for f in schema.split(", ")]
-            yield pa.RecordBatch.from_arrays([batch.column(0), *arrays], names)
+            for low in range(0, len(batch), TOGETHER):
+                some = batch.slice(low, TOGETHER)
+                made = columns(tool, [text or "" for text in some.column(1).to_pylist()])
+                yield pa.RecordBatch.from_arrays([some.column(0), *made], names)
 
     return docs.selectExpr("cast(doc_id as bigint) doc_id", "text").mapInArrow(run, schema)
 
 
-def _ids(tool: Encoder, text: str) -> tuple:
-    ids = tool.encode(text)
-    return ([int(i) for i in ids.split(",")] if ids else [],)
+def _ids(tool: Encoder, texts: list[str]) -> list[pa.Array]:
+    found = [np.fromstring(ids, np.int32, sep=",") if ids else np.empty(0, np.int32) for ids in map(tool.encode, texts)]
+    offsets = np.concatenate(([0], np.cumsum([len(ids) for ids in found]))).astype(np.int32)
+    return [pa.ListArray.from_arrays(pa.array(offsets), pa.array(np.concatenate(found)))]
 
 
-def _digest(tool: Encoder, text: str) -> tuple:
-    ids = tool.encode(text)
-    n = ids.count(",") + 1 if ids else 0
-    decoded = tool.decode(ids)
-    return n, hashlib.sha256(ids.encode()).hexdigest(), hashlib.sha256(decoded).hexdigest()
+def _digest(tool: Encoder, texts: list[str]) -> list[pa.Array]:
+    n, ids_digests, text_digests = [], [], []
+    for ids in map(tool.encode, texts):
+        n.append(ids.count(",") + 1 if ids else 0)
+        ids_digests.append(hashlib.sha256(ids.encode()).hexdigest())
+        text_digests.append(hashlib.sha256(tool.decode(ids)).hexdigest())
+    return [pa.array(n, pa.int64()), pa.array(ids_digests, pa.string()), pa.array(text_digests, pa.string())]
 
 
 def encode(docs: DataFrame, path: str | None = None) -> DataFrame:
     """doc_id and ids of each text; nothing is shuffled."""
-    return _map(docs, "doc_id bigint, ids array<int>", _ids, [pa.list_(pa.int32())], path)
+    return _map(docs, "doc_id bigint, ids array<int>", _ids, path)
 
 
 def round_trip(docs: DataFrame, path: str | None = None) -> DataFrame:
     """Encode whole texts and decode the ids: token counts and digests of both."""
     schema = "doc_id bigint, n_tokens bigint, ids_sha256 string, decoded_sha256 string"
-    return _map(docs, schema, _digest, [pa.int64(), pa.string(), pa.string()], path)
+    return _map(docs, schema, _digest, path)
