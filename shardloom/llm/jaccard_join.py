@@ -30,7 +30,7 @@ from shardloom.session import stage
 SHINGLE = 4
 PERCENT = 85
 LOW_PERCENT = 20  # share of tokens, those with the smallest hashes, that the first order counts
-CHUNK = 4 << 20  # bytes hashed at a time
+CHUNK = 1 << 20  # bytes hashed at a time
 _POWERS = np.cumprod(np.full(1 << 16, 0x9E3779B97F4A7C15, np.uint64))
 _PLACES = np.array([0xD6E8FEB86659FD93, 0xA0761D6478BD642F, 0xE7037ED1A0B428DB, 0x8EBC6AF09C88C6E3, 0x589965CC75374CC3], np.uint64)
 _SPACE = np.zeros(256, bool)

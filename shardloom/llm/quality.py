@@ -28,7 +28,7 @@ TRAINING_ROWS = 1_000
 THRESHOLD = 0.5
 MIN_WORDS = 50
 MAX_REPEATED = 50  # per cent of words
-CHUNK = 4 << 20  # bytes hashed at a time
+CHUNK = 1 << 20  # bytes hashed at a time
 SYMBOLS = b"#*$%&|<>"
 _POWERS = np.cumprod(np.full(4096, 0x9E3779B97F4A7C15, np.uint64))
 _SPACE = np.zeros(256, bool)
