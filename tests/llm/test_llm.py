@@ -250,3 +250,36 @@ def test_pipeline(spark):
     library = tiktoken.Encoding("own", pat_str=public_tokenizers.PATTERN, mergeable_ranks=ranks, special_tokens={})
     want = sorted((r.doc_id, library.encode_ordinary(r.text)) for r in before.select("doc_id", "text").collect())
     assert sorted((r.doc_id, list(r.ids)) for r in docs.collect()) == want
+
+
+def test_line_dedup_edits_grow_with_length(spark, monkeypatch):
+    rnd = random.Random(8)
+    cases = [(chars, most) for first, most in line_dedup.BANDS for chars in (first, first + 3)] + [(600, 14)]
+    rows, want, i = [], {}, 0
+    for chars, most in cases:
+        for edits in sorted({1, 2, most, most + 1, 2 * most + 2}):
+            for kind in ("change", "insert", "delete"):
+                line = "".join(rnd.choice("abcdefgh ijklmnop") for _ in range(chars))
+                copy = list(line)
+                for at in sorted(rnd.sample(range(chars), edits), reverse=True):
+                    if kind == "delete":
+                        del copy[at]
+                    else:
+                        copy[at : at + (kind == "change")] = [rnd.choice("QRSTUVWXYZ")]
+                copy = "".join(copy)
+                if len(copy) >= 20:
+                    least = min(chars, len(copy))
+                    near = _distance(line, copy) <= max(t for first, t in line_dedup.BANDS if first <= least)
+                    rows += [(i, line), (i + 1, copy)]
+                    want |= {i: 0, i + 1: int(near)}
+                    i += 2
+    assert any(want.values()) and sum(want.values()) < len(rows) / 2
+    start, end = ("".join(rnd.choice("abc ") for _ in range(n)) for n in (150, 120))
+    hot = [start + "".join(rnd.choice("abcdefgh") for _ in range(30)) + end for _ in range(10)]  # share all but 30 characters
+    hot += [line[:40] + "é" + line[41:155] + "éé" + line[155:] for line in hot[:6]]
+    rows += [(i + k, line) for k, line in enumerate(hot)]
+    for k, line in enumerate(hot):
+        want[i + k] = int(any(_distance(line, other) <= 14 for other in hot[:k]))
+    docs = spark.createDataFrame(rows, "doc_id bigint, text string")
+    monkeypatch.setattr(line_dedup, "LISTED", 6)
+    assert {r.doc_id: r.n_removed for r in line_dedup.report(docs).collect()} == want
