@@ -6,7 +6,8 @@ cannot beat its k-th score. The best k of all blocks are then ranked; no block's
 
 Nulls: vectors that are null, or hold null or non-finite components, and rows with a null id take no part. Only vectors
 of one length meet. Rows with the query's id are its own and are no candidates; other repeated rows are candidates of
-their own. Components are floor(256 * x); scores beyond a long stop at its ends. Empty tables give no rows.
+their own. Queries with the same id and quantized vector are one query and answer once; different vectors under one id are
+queries of their own, and each has its own ranks under that id. Components are floor(256 * x); scores beyond a long stop at its ends. Empty tables give no rows.
 """
 
 from __future__ import annotations
@@ -60,6 +61,7 @@ class Lists:
             new = np.unique(lists[:, low:high]) if len(used) else np.arange(n)
             new = new[~seen[new]]
             seen[new] = True
+            new = new[self.ids[new] != query_id]  # before the cut below, which copies of the query's own rows could fill
             scores = rows[new] @ asked
             if exact and len(new) > 4 * k:  # all that could be among the best k
                 floor = np.partition(scores, len(scores) - 2 * k)[len(scores) - 2 * k]
@@ -68,7 +70,7 @@ class Lists:
                 chosen = np.union1d(np.flatnonzero(keep), level[: 2 * k])
             else:
                 chosen = np.arange(len(new))
-            found = [(-int(scores[i]), int(new[i])) for i in chosen if self.ids[new[i]] != query_id]
+            found = [(-int(scores[i]), int(new[i])) for i in chosen]
             best = sorted(best + found)[:k]
             if len(used):
                 ends = np.where(rising, self.values[used, n - high], self.values[used, high - 1])
@@ -86,27 +88,27 @@ def search(vectors: DataFrame, queries: DataFrame, k: int = 5) -> DataFrame:
     ready = lambda df: df.select(F.col("vec_id").cast("bigint").alias("vec_id"), quantized(F.col("embedding")).alias("v")).filter(
         "vec_id is not null and v is not null"
     )
-    vectors, queries = ready(vectors), ready(queries)
+    vectors, queries = ready(vectors), ready(queries).distinct()
     blocks = max(1, -(-vectors.count() // BLOCK_ROWS))
     chunks = max(1, -(-queries.count() // CHUNK_ROWS))
     dealt = lambda n: F.pmod(F.xxhash64("vec_id", "v"), F.lit(n)).cast("int")
     to_all = lambda n: F.explode(F.sequence(F.lit(0), F.lit(n - 1)))
     left = vectors.select("*", F.size("v").alias("d"), dealt(blocks).alias("block"), to_all(chunks).alias("chunk"))
-    right = queries.select("*", F.size("v").alias("d"), dealt(chunks).alias("chunk"), to_all(blocks).alias("block"))
+    right = queries.select("*", F.sha2(F.concat_ws(",", F.transform("v", lambda x: x.cast("string"))), 256).alias("asked"), F.size("v").alias("d"), dealt(chunks).alias("chunk"), to_all(blocks).alias("block"))
     send(__name__)
-    result = pa.schema([("query_id", pa.int64()), ("vec_id", pa.int64()), ("score", pa.int64())])
+    result = pa.schema([("query_id", pa.int64()), ("asked", pa.string()), ("vec_id", pa.int64()), ("score", pa.int64())])
 
     def meet(key: tuple, left: pa.Table, right: pa.Table) -> pa.Table:
-        rows: list[tuple[int, int, int]] = []
+        rows: list[tuple[int, str, int, int]] = []
         if len(left) and len(right):
             matrix = lambda t: t["v"].combine_chunks().flatten().to_numpy(zero_copy_only=False).reshape(len(t), key[0].as_py())
             lists = Lists(left["vec_id"].to_numpy(), matrix(left))
-            for query_id, query in zip(right["vec_id"].to_pylist(), matrix(right), strict=True):
-                rows += [(query_id, *found) for found in lists.search(query_id, query, k)]
-        columns = list(zip(*rows, strict=True)) or [(), (), ()]
-        return pa.table([pa.array(c, pa.int64()) for c in columns], result)
+            for query_id, asked, query in zip(right["vec_id"].to_pylist(), right["asked"].to_pylist(), matrix(right), strict=True):
+                rows += [(query_id, asked, *found) for found in lists.search(query_id, query, k)]
+        columns = list(zip(*rows, strict=True)) or [(), (), (), ()]
+        return pa.table([pa.array(c, field.type) for c, field in zip(columns, result, strict=True)], result)
 
     by = ["d", "block", "chunk"]
-    best = left.groupBy(*by).cogroup(right.groupBy(*by)).applyInArrow(meet, "query_id bigint, vec_id bigint, score bigint")
-    rank = F.row_number().over(W.partitionBy("query_id").orderBy(F.desc("score"), "vec_id"))
+    best = left.groupBy(*by).cogroup(right.groupBy(*by)).applyInArrow(meet, "query_id bigint, asked string, vec_id bigint, score bigint")
+    rank = F.row_number().over(W.partitionBy("query_id", "asked").orderBy(F.desc("score"), "vec_id"))
     return best.withColumn("rank", rank).filter(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")

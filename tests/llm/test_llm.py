@@ -97,6 +97,21 @@ def test_top_k(spark, monkeypatch):
     assert got == want
 
 
+@pytest.mark.parametrize("times", [2, 20])
+def test_top_k_repeated_rows(spark, times):
+    rnd = np.random.default_rng(times)
+    vectors = [(i, rnd.integers(-3, 4, 4).astype(float).tolist()) for i in range(200)]
+    vectors += [(0, [9.0] * 4)] * times + [(50, [4.0, 4.0, 4.0, 4.0])] * times  # best for themselves; two queries each
+    df = spark.createDataFrame(vectors, "vec_id bigint, embedding array<double>")
+    got = sorted(tuple(r) for r in top_k.search(df, df.filter("vec_id % 50 = 0")).collect())
+    fine = [(i, np.floor(256 * np.array(v))) for i, v in vectors]
+    want = []
+    for q, x in {(q, tuple(x)) for q, x in fine if q % 50 == 0}:
+        order = sorted((-int(np.array(x) @ y), i) for i, y in fine if i != q)[:5]
+        want += [(q, k + 1, i, -s) for k, (s, i) in enumerate(order)]
+    assert got == sorted(want)
+
+
 def test_byte_bpe(docs):
     ranks = {base64.b64decode(a): int(b) for a, b in map(bytes.split, open(BPE, "rb"))}
     library = tiktoken.Encoding("own", pat_str=public_tokenizers.PATTERN, mergeable_ranks=ranks, special_tokens={})
