@@ -298,3 +298,9 @@ def test_line_dedup_edits_grow_with_length(spark, monkeypatch):
     docs = spark.createDataFrame(rows, "doc_id bigint, text string")
     monkeypatch.setattr(line_dedup, "LISTED", 6)
     assert {r.doc_id: r.n_removed for r in line_dedup.report(docs).collect()} == want
+
+
+def test_line_dedup_short_repeats(spark):
+    rows = [(1, "Share\n\nReply\n \t"), (2, "Share\n\nReplx\n \t\nShare"), (3, "Reply")]
+    got = {r.doc_id: r.removed for r in line_dedup.report(spark.createDataFrame(rows, "doc_id bigint, text string")).collect()}
+    assert got == {1: "", 2: "0,4", 3: "0"}
