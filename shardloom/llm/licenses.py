@@ -10,6 +10,8 @@ empty table of documents gives no rows; with an empty catalogue no document has
 
 from __future__ import annotations
 
+from pathlib import Path
+
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -95,6 +97,50 @@ NOTICES = {
     "CC-BY-NC-4.0": ("Licensed under CC BY-NC 4.0.", "This work is licensed under CC BY-NC 4.0.", "SPDX-License-Identifier: CC-BY-NC-4.0"),
     "BSD-3-Clause": ("Licensed under the BSD 3-Clause License.", "SPDX-License-Identifier: BSD-3-Clause"),
 }
+#: Titles that standard files carry above the texts of TEXTS, before or after the copyright lines (fixed values).
+TITLES = {
+    "MIT": ("MIT License", "The MIT License", "The MIT License (MIT)", "MIT License (MIT)"),
+    "ISC": ("ISC License", "The ISC License", "ISC License (ISC)"),
+    "0BSD": ("BSD Zero Clause License", "Zero-Clause BSD", "BSD Zero Clause License (0BSD)", "0BSD License"),
+    "BSD-2-Clause": ("BSD 2-Clause License", "The BSD 2-Clause License", "BSD 2-Clause \"Simplified\" License", "Simplified BSD License"),
+    "BSD-3-Clause": (
+        "BSD 3-Clause License",
+        "The BSD 3-Clause License",
+        "BSD 3-Clause \"New\" or \"Revised\" License",
+        "New BSD License",
+        "Modified BSD License",
+    ),
+    "Zlib": ("zlib License", "The zlib License", "zlib/libpng License"),
+}
+#: Where the appendix of a standard file starts, which many copies leave out.
+TERMS_END = "END OF TERMS AND CONDITIONS"
+
+
+def _bsd_3(bsd_2: str, holder: str) -> str:
+    """The two-clause text with the third clause."""
+    clause = (
+        f"3. Neither the name of {holder} nor the names of its contributors may be used to endorse or promote products derived from\n"
+        "this software without specific prior written permission.\n"
+    )
+    return bsd_2.replace("THIS SOFTWARE IS", clause + "THIS SOFTWARE IS", 1)
+
+
+def standard() -> list[tuple[str, str]]:
+    """license_id and text of common licences as standard files have them: with and without title, numbers or appendix."""
+    bodies = list(TEXTS.items())
+    bodies += [("BSD-3-Clause", _bsd_3(TEXTS["BSD-2-Clause"], holder)) for holder in ("the copyright holder", "the University")]
+    regents = bodies[-1][1].replace("COPYRIGHT HOLDERS AND", "REGENTS AND").replace("COPYRIGHT HOLDER OR", "REGENTS OR")
+    bodies += [("BSD-3-Clause", regents)]
+    bodies += [("ISC", TEXTS["ISC"].replace("and/or distribute", "and distribute"))]
+    bodies += [(name, text.replace("\n1. ", "\n").replace("\n2. ", "\n").replace("\n3. ", "\n")) for name, text in bodies if "BSD-" in name]
+    found = bodies + [(name, f"{title}\n{text}") for name, text in bodies for title in TITLES[name]]
+    for path in sorted((Path(__file__).parent / "license_texts").glob("*.txt")):
+        text = path.read_text(encoding="utf-8")
+        found.append((path.name.removesuffix(".txt"), text))
+        terms, end, _ = text.partition(TERMS_END)
+        if end:
+            found += [(path.name.removesuffix(".txt"), kept) for kept in (terms, terms + end)]
+    return list(dict.fromkeys(found))
 
 
 def canonical(text: Column) -> Column:
@@ -114,7 +160,7 @@ def digest(canonical_text: Column) -> Column:
 
 def catalogue(spark: SparkSession) -> DataFrame:
     """license_id and text of the built-in texts and notices: a fixed list, so its size is bounded."""
-    rows = [*TEXTS.items(), *((name, line) for name, lines in NOTICES.items() for line in lines)]
+    rows = [*standard(), *((name, line) for name, lines in NOTICES.items() for line in lines)]
     entries = [F.struct(F.lit(name).alias("license_id"), F.lit(text).alias("text")) for name, text in rows]
     return spark.range(1).select(F.inline(F.array(*entries)))
 

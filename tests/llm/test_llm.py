@@ -171,6 +171,20 @@ def test_licenses(spark):
     assert got == {1: ("MIT", 0, ""), 2: (None, 0, ""), 3: (None, 0, ""), 4: (None, 1, "MIT")}
 
 
+def test_licenses_standard_files(spark):
+    files = {p.name[:-4]: p.read_text() for p in licenses.Path(licenses.__file__).parent.joinpath("license_texts").glob("*.txt")}
+    bsd = open("/usr/share/common-licenses/BSD").read() if licenses.Path("/usr/share/common-licenses/BSD").exists() else None
+    rows = [(name, text) for name, text in files.items()]
+    rows += [("MIT", f"{title}\n\nCopyright (c) 2021 A. Body\n\n{licenses.TEXTS['MIT']}\n") for title in ("MIT License", "The MIT License (MIT)")]
+    rows += [("ISC", "ISC License\n\nCopyright 2004 B\n\n" + licenses.TEXTS["ISC"])]
+    rows += [("Apache-2.0", files["Apache-2.0"].split("   APPENDIX")[0])]
+    rows += [("GPL-3.0", files["GPL-3.0"].upper().replace("HTTPS", "HTTP"))]
+    rows += [("BSD-3-Clause", bsd), ("BSD-3-Clause", "BSD 3-Clause License\n\n" + bsd)] if bsd else []
+    table = spark.createDataFrame([(i, text) for i, (_, text) in enumerate(rows)], "doc_id bigint, text string")
+    got = {r.doc_id: r.license_id for r in licenses.scan(table).collect()}
+    assert [got[i] for i in range(len(rows))] == [name for name, _ in rows]
+
+
 def test_token_files(spark, docs):
     library, start, want = Tokenizer.from_file(WORDS), 0, []
     rows = sorted(texts(), key=lambda r: (r[0] is not None, r[0] or 0))
