@@ -15,18 +15,20 @@ from shardloom.plans.tables import CHUNK_DOCS, LENGTH, stager, stored
 from shardloom.session import new_path, stage
 from shardloom.sources import readers
 
-BPE_VOCAB = 256  # a small vocabulary keeps the queries short; the trainer's own default is 30,000
+BPE_VOCAB = 256  # the small form, as far as the SQL can follow
+BPE_FULL = 30_000  # the trainer's own default; these queries have no SQL
 BUDGETS = [1_024, 4_096, 16_384, 0]  # 0: all tokens
 SOURCE_LANG = "en"
-_TRAINED: dict[tuple[str, str], tuple] = {}
+_TRAINED: dict[tuple[str, str, int], tuple] = {}
 
 
-def _trained(spark: SparkSession, sf_dir: str) -> tuple[list[str], list[tuple[str, str]], DataFrame]:
+def _trained(spark: SparkSession, sf_dir: str, size: int = BPE_VOCAB) -> tuple[list[str], list[tuple[str, str]], DataFrame]:
     """Pieces, merges and segmented words over the text of all splits."""
-    key = (spark.sparkContext.applicationId, sf_dir)
+    key = (spark.sparkContext.applicationId, sf_dir, size)
     if key not in _TRAINED:
         counts = encode.word_counts(tables.documents(spark, sf_dir))
-        pieces, merges, segmented = bpe.train(counts, stager("bpe"), vocab_size=BPE_VOCAB)
+        train = bpe.train_counted if size == BPE_FULL else bpe.train
+        pieces, merges, segmented = train(counts, stager(f"bpe-{size}"), vocab_size=size)
         _TRAINED[key] = pieces, merges, stage(segmented, "segmented")
     return _TRAINED[key]
 
@@ -55,14 +57,23 @@ state AS (
 
 @query(f"""WITH RECURSIVE {_BPE} SELECT (k - 1)::BIGINT AS merge_no, a AS "left", b AS "right" FROM state WHERE k > 0""")
 def train_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
-    _, merges, _ = _trained(spark, sf_dir)
+    return _merges(spark, sf_dir, BPE_VOCAB)
+
+
+@query()
+def train_bpe_30k(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _merges(spark, sf_dir, BPE_FULL)
+
+
+def _merges(spark: SparkSession, sf_dir: str, size: int) -> DataFrame:
+    _, merges, _ = _trained(spark, sf_dir, size)
     rows = [(i, left, right) for i, (left, right) in enumerate(merges)]
     return spark.createDataFrame(rows, "merge_no bigint, left string, right string")
 
 
-def _bpe_ids(spark: SparkSession, sf_dir: str) -> DataFrame:
+def _bpe_ids(spark: SparkSession, sf_dir: str, size: int = BPE_VOCAB) -> DataFrame:
     docs = tables.documents(spark, sf_dir).select("doc_id", words("text").alias("tokens"))
-    return bpe.encode_pieces(docs, ["doc_id"], _trained(spark, sf_dir)[2])
+    return bpe.encode_pieces(docs, ["doc_id"], _trained(spark, sf_dir, size)[2])
 
 
 @query(f"""WITH RECURSIVE {_BPE},
@@ -75,9 +86,18 @@ SELECT doc_id, (coalesce(sum(n), 0) + 2)::BIGINT AS n_ids,
 FROM (SELECT doc_id, unnest(tokens) AS token, unnest(range(len(tokens))) AS i FROM tokens) t LEFT JOIN pieced USING (token)
 GROUP BY doc_id""")
 def encode_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
-    vocab = bpe.tokenizer_vocab(_trained(spark, sf_dir)[0])
+    return _encoded(spark, sf_dir, BPE_VOCAB)
+
+
+@query()
+def encode_bpe_30k(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _encoded(spark, sf_dir, BPE_FULL)
+
+
+def _encoded(spark: SparkSession, sf_dir: str, size: int) -> DataFrame:
+    vocab = bpe.tokenizer_vocab(_trained(spark, sf_dir, size)[0])
     ids = wrap("ids", F.lit(vocab[EOS]).cast("bigint"))
-    docs = _bpe_ids(spark, sf_dir).withColumn("ids", ids)
+    docs = _bpe_ids(spark, sf_dir, size).withColumn("ids", ids)
     return docs.select("doc_id", F.size("ids").cast("bigint").alias("n_ids"), digest("ids").alias("digest"))
 
 
@@ -90,17 +110,37 @@ FROM (SELECT doc_id, unnest(tokens) AS token, unnest(range(len(tokens))) AS i FR
 GROUP BY doc_id""")
 def decode_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Pieces with spaces between, as a tokenizer without a decoder puts them together."""
-    pieces = bpe.piece_table(spark, _trained(spark, sf_dir)[0])
-    text = bpe.decode_pieces(_bpe_ids(spark, sf_dir), ["doc_id"], pieces, joiner=" ")
+    return _decoded(spark, sf_dir, BPE_VOCAB)
+
+
+@query()
+def decode_bpe_30k(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _decoded(spark, sf_dir, BPE_FULL)
+
+
+def _decoded(spark: SparkSession, sf_dir: str, size: int) -> DataFrame:
+    pieces = bpe.piece_table(spark, _trained(spark, sf_dir, size)[0])
+    text = bpe.decode_pieces(_bpe_ids(spark, sf_dir, size), ["doc_id"], pieces, joiner=" ")
     return text.select("doc_id", F.md5("text").alias("digest"))
 
 
 @query("SELECT doc_id, md5(text) AS digest FROM documents")
 def byte_level_round_trip(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Byte-level pieces are learned and stored as vocabulary and merges files; with these, texts are encoded and decoded."""
+    return _byte_level(spark, sf_dir, BPE_VOCAB).select("doc_id", "digest")
+
+
+@query()
+def byte_level_bpe_30k(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The same with the full vocabulary, and the number and digest of the ids of every text."""
+    return _byte_level(spark, sf_dir, BPE_FULL)
+
+
+def _byte_level(spark: SparkSession, sf_dir: str, size: int) -> DataFrame:
     docs = tables.documents(spark, sf_dir).select("doc_id", byte_level_words("text").alias("tokens"))
     counts = stage(docs.select(F.explode("tokens").alias("token")).groupBy("token").agg(F.count("*").alias("n")), "byte-words")
-    pieces, merges, _ = bpe.train(counts, stager("byte-bpe"), vocab_size=BPE_VOCAB)
+    train = bpe.train_counted if size == BPE_FULL else bpe.train
+    pieces, merges, _ = train(counts, stager(f"byte-bpe-{size}"), vocab_size=size)
     vocab_path, merges_path = new_path(spark, "byte-vocab"), new_path(spark, "byte-merges")
     bpe.save_vocab_and_merges(spark, vocab_path, merges_path, pieces, merges)
     ids = {r.token: r.id for r in readers.read_vocab_json(spark, vocab_path).collect()}
@@ -108,8 +148,9 @@ def byte_level_round_trip(spark: SparkSession, sf_dir: str) -> DataFrame:
     segmented = stage(bpe.segment(counts, stored_merges, ids).join(counts, "token"), "byte-segmented")
     encoded = bpe.encode_pieces(docs, ["doc_id"], segmented)
     table = bpe.piece_table(spark, sorted(ids, key=ids.get))
-    text = bpe.decode_pieces(encoded, ["doc_id"], table).select("doc_id", bytes_to_text("text").alias("text"))
-    return text.select("doc_id", F.md5("text").alias("digest"))
+    text = bpe.decode_pieces(encoded, ["doc_id"], table).select("doc_id", F.md5(bytes_to_text("text")).alias("digest"))
+    numbers = encoded.select("doc_id", F.size("ids").cast("bigint").alias("n_ids"), digest("ids").alias("ids_digest"))
+    return numbers.join(text, "doc_id").select("doc_id", "n_ids", "ids_digest", "digest")
 
 
 _MODEL = """

@@ -144,3 +144,13 @@ def test_byte_level_encoding_equals_the_tokenizers_library(spark, tmp_path):
     pieces = spark.createDataFrame([(i, p) for p, i in vocab.items()], "id bigint, piece string")
     back = bpe.decode_pieces(ids, ["doc_id"], pieces).select("doc_id", bytes_to_text("text").alias("text"))
     assert {r.doc_id: r.text for r in back.collect()} == {r.doc_id: r.text for r in rows}
+
+
+def test_full_training_equals_the_tokenizers_library(spark, stager):
+    docs = spark.read.parquet("/root/testdata/sf0.001/documents.parquet").filter("doc_id < 40")
+    pieces, merges, _ = bpe.train_counted(encode.word_counts(docs), stager, vocab_size=30_000)
+    tokenizer = Tokenizer(models.BPE())
+    tokenizer.pre_tokenizer = pre_tokenizers.Whitespace()
+    tokenizer.train_from_iterator([r.text for r in docs.collect()], trainers.BpeTrainer(vocab_size=30_000, show_progress=False))
+    vocab = tokenizer.get_vocab()
+    assert len(pieces) > 1_000 and pieces == sorted(vocab, key=vocab.get)
