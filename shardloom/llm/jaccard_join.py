@@ -124,7 +124,11 @@ def _first(entries: Column, count: Column) -> Column:
 
 
 def linked(docs: DataFrame, width: int = SHINGLE, percent: int = PERCENT) -> DataFrame:
-    """doc_id, n_shingles, component_id of every document."""
+    """doc_id, n_shingles, component_id of every document.
+
+    This is connectivity only: pairs of documents that are connected already are not compared, so neither the links nor
+    their number come out of it.
+    """
     sets = stage(token_sets(docs, width, percent, whole=False), "low")
     narrow = sets.select("doc_id", "n", "s1", "s2")
     known = narrow.filter("doc_id is not null and n > 0")
