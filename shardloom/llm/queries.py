@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from shardloom.llm import byte_bpe, chat, jaccard_join, licenses, line_dedup, mixing, quality, secrets, token_files, top_k
+from shardloom.llm import byte_bpe, chat, filter_audit, jaccard_join, licenses, line_dedup, mixing, quality, secrets, token_files, top_k
 from shardloom.llm.common import table
 from shardloom.plans.registry import query
 
@@ -137,3 +137,39 @@ def op5_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query()
 def op1_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return line_dedup.report(table(spark, sf_dir, "documents"))
+
+
+_WORDS = "regexp_extract_all(text, '[^\\x20\\x09-\\x0D]+')"
+_AUDIT = f"""
+WITH texts AS (SELECT doc_id, coalesce(source, '') AS part, coalesce(text, '') AS text FROM documents
+), split AS (SELECT *, {_WORDS} AS words, length(regexp_replace(text, '[^A-Z]+', '', 'g')) AS capitals, min(doc_id) OVER (PARTITION BY text) AS first FROM texts
+), masks AS (
+  SELECT doc_id, part, [len(words) < 200, 100 * list_unique(words) < 50 * len(words), 100 * capitals > 2 * length(text),
+    regexp_matches(text, '[#$%&*|]'), coalesce(doc_id > first, false)] AS fails FROM split
+), marks AS (SELECT doc_id, bool_or(quality = 1) AS quality, bool_or(toxic = 1) AS toxic FROM labels GROUP BY doc_id
+), cells AS (
+  SELECT part, fails, count(*) AS docs, count(*) FILTER (quality) AS good, count(*) FILTER (toxic) AS toxic
+  FROM masks LEFT JOIN marks USING (doc_id) GROUP BY part, fails
+), letters AS (SELECT unnest(range(1, 6)) AS f
+), orders AS (
+  SELECT [a.f, b.f, c.f, d.f, e.f] AS o FROM letters a, letters b, letters c, letters d, letters e WHERE len(list_distinct([a.f, b.f, c.f, d.f, e.f])) = 5
+), steps AS (SELECT o, list_aggregate(list_transform(o, lambda f: 'ABCDE'[f]), 'string_agg', '') AS filter_order, unnest(range(1, 6)) AS step FROM orders
+), folded AS (
+  SELECT *, fails[o[step]] AS fail, list_bool_or(list_transform(o[1:step - 1], lambda f: fails[f])) AS gone,
+    len(list_filter(fails, lambda x: x)) = 1 AND fails[o[step]] AS alone FROM cells, steps
+), summed AS (
+  SELECT part, filter_order, step, o[step] AS f, sum(docs) FILTER (NOT fail AND NOT coalesce(gone, false)) AS kept,
+    sum(docs) FILTER (fail AND NOT coalesce(gone, false)) AS removed, sum(docs) FILTER (fail AND gone) AS redundant, sum(docs) FILTER (alone) AS unique_fails,
+    sum(good) FILTER (fail AND NOT coalesce(gone, false)) AS good_lost, sum(toxic) FILTER (fail AND NOT coalesce(gone, false)) AS toxic_lost
+  FROM folded GROUP BY ALL
+)
+SELECT part, filter_order, CAST(step AS INTEGER) AS step,
+  {", ".join(f"CAST(coalesce({c}, 0) AS BIGINT) AS {c}" for c in filter_audit.COUNTS)},
+  CAST(coalesce(sum(removed) OVER (PARTITION BY part, f), 0) AS BIGINT) AS shapley
+FROM summed
+"""
+
+
+@query(_AUDIT)
+def op11_filter_audit(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return filter_audit.audit(filter_audit.failures(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels")))
