@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from shardloom.llm import byte_bpe, chat, filter_audit, jaccard_join, licenses, line_dedup, mixing, quality, secrets, token_files, top_k
+from shardloom.llm import byte_bpe, chat, filter_audit, jaccard_join, licenses, line_dedup, merkle, mixing, quality, secrets, token_files, top_k
 from shardloom.llm.common import table
 from shardloom.plans.registry import query
 
@@ -173,3 +173,48 @@ FROM summed
 @query(_AUDIT)
 def op11_filter_audit(spark: SparkSession, sf_dir: str) -> DataFrame:
     return filter_audit.audit(filter_audit.failures(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels")))
+
+
+_FIELD = lambda c: f"coalesce(octet_length(encode(CAST({c} AS VARCHAR))) || ':' || {c}, '-')"
+_LEAF = lambda text: "sha256(" + " || ".join(map(_FIELD, ("doc_id", "source", "lang", "n_chars", text))) + ")"
+# Nodes of all levels of the trees over some leaves, and what stands left and right of a leaf's ancestor at each level.
+_TREE = lambda name, leaves: f"""{name} AS (
+  SELECT 0 AS level, part, pos, h FROM {leaves} UNION ALL
+  SELECT level + 1, part, pos // 16, sha256(string_agg(h, '' ORDER BY pos)) FROM (SELECT *, count(*) OVER (PARTITION BY part) AS n FROM {name})
+  WHERE n > 1 GROUP BY level, part, pos // 16
+), {name}_tops AS (SELECT part, max(level) AS top, arg_max(h, level) AS h FROM {name} GROUP BY part)"""
+_SIDES = lambda key, leaves, name, first: f"""
+  SELECT l.{key}, {first} + l.level AS step, coalesce(string_agg(n.h, '' ORDER BY n.pos) FILTER (n.pos < l.up), '') AS a,
+    coalesce(string_agg(n.h, '' ORDER BY n.pos) FILTER (n.pos > l.up), '') AS b
+  FROM (SELECT r.{key}, r.part, level, r.pos // CAST(power(16, level) AS BIGINT) AS up FROM {leaves} r
+        JOIN (SELECT part, unnest(range(top)) AS level FROM {name}_tops) USING (part)) l
+  JOIN {name} n ON n.part = l.part AND n.level = l.level AND n.pos // 16 = l.up // 16 GROUP BY l.{key}, l.level"""
+_MERKLE = f"""
+WITH RECURSIVE crcs AS (
+  SELECT doc_id, xor(4294967295, list_reduce(list_prepend(4294967295, list_transform(string_split(CAST(doc_id AS VARCHAR), ''), lambda c: CAST(ord(c) AS BIGINT))),
+    lambda s, c: list_reduce(list_prepend(xor(s, c), range(8)), lambda x, i: xor(x >> 1, (x & 1) * 3988292384)))) AS crc
+  FROM (SELECT DISTINCT doc_id FROM documents WHERE doc_id IS NOT NULL)
+), hashed AS (
+  SELECT row_number() OVER () AS leaf_no, doc_id, source, {_LEAF("text")} AS h, CASE WHEN crc % 5 = 0
+    THEN {_LEAF("translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')")} END AS altered FROM documents LEFT JOIN crcs USING (doc_id)
+), leaves AS (
+  SELECT *, coalesce('=' || source, '') AS part, row_number() OVER (PARTITION BY source ORDER BY doc_id NULLS FIRST, h) - 1 AS pos FROM hashed
+), {_TREE("nodes", "leaves")}, subroots AS (
+  SELECT part AS name, '' AS part, row_number() OVER (ORDER BY encode(part)) - 1 AS pos, h FROM nodes_tops
+), {_TREE("over", "subroots")}, above AS ({_SIDES("name", "subroots", "over", 100)}
+), sides AS ({_SIDES("leaf_no", "leaves", "nodes", 0)}
+  UNION ALL SELECT leaf_no, step, a, b FROM above JOIN leaves ON leaves.part = name
+), ways AS (SELECT leaf_no, list(a ORDER BY step) AS a, list(b ORDER BY step) AS b, sha256(string_agg(a || b, '' ORDER BY step)) AS proof FROM sides GROUP BY leaf_no
+), folds AS (
+  SELECT leaf_no, 1 AS i, coalesce(altered, h) AS node, a, b FROM leaves LEFT JOIN ways USING (leaf_no)
+  UNION ALL SELECT leaf_no, i + 1, sha256(a[i] || node || b[i]), a, b FROM folds WHERE i <= len(a)
+)
+SELECT doc_id, leaves.h AS leaf, t.h AS subroot, o.h AS root, coalesce(proof, sha256('')) AS proof_sha256, node AS folded_root, node = o.h AS verified
+FROM leaves JOIN nodes_tops t USING (part) CROSS JOIN over_tops o LEFT JOIN ways USING (leaf_no)
+JOIN (SELECT leaf_no, arg_max(node, i) AS node FROM folds GROUP BY leaf_no) USING (leaf_no)
+"""
+
+
+@query(_MERKLE)
+def op13_merkle_manifest(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return merkle.manifest(table(spark, sf_dir, "documents"))
