@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from shardloom.llm import byte_bpe, chat, filter_audit, jaccard_join, licenses, line_dedup, merkle, mixing, quality, secrets, token_files, top_k
+from shardloom.llm import best_fit, byte_bpe, chat, filter_audit, jaccard_join, licenses, line_dedup, merkle, mixing, quality, secrets, token_files, top_k
 from shardloom.llm.common import table
 from shardloom.plans.registry import query
 
@@ -218,3 +218,8 @@ JOIN (SELECT leaf_no, arg_max(node, i) AS node FROM folds GROUP BY leaf_no) USIN
 @query(_MERKLE)
 def op13_merkle_manifest(spark: SparkSession, sf_dir: str) -> DataFrame:
     return merkle.manifest(table(spark, sf_dir, "documents"))
+
+
+@query()
+def op12_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return best_fit.best_fit(table(spark, sf_dir, "documents"))

@@ -14,13 +14,13 @@ of their text. A null text is an empty one: its end id alone. An empty table giv
 from __future__ import annotations
 
 import hashlib
-import re
 import struct
 from collections.abc import Iterator
 from itertools import filterfalse
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 import zstandard
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -39,7 +39,7 @@ CONTAINER_BYTES = 8 << 20  # of compressed ids, about
 #: The dictionary is trained on the ids of so many documents, those with the smallest hashed ids, and so many bytes of each.
 SAMPLE_ROWS, SAMPLE_BYTES, DICTIONARY_BYTES = 512, 16 << 10, 64 << 10
 REMEMBERED = 250_000  # runs, and pieces, in each generation of a process's cache
-TOGETHER = 64  # texts encoded in one call
+TOGETHER, TOGETHER_CHARS = 256, 1 << 20  # most texts, and characters unless one text has more, encoded in one call
 CONTAINER = "part int, first bigint, n_docs bigint, n_tokens bigint, image binary"
 
 
@@ -66,16 +66,28 @@ class Remembered(dict):
 
 
 #: This vocabulary's splitter for text up to U+00FF, after lower-casing, where its normaliser changes nothing else (fixed values).
-_LETTER, _NUMBER, _BLANK = "a-zªµºß-öø-ÿ", "0-9²³¹¼½¾", r"\x09-\x0d\x20\x85\xa0"
-_SPLIT = re.compile(f"'s|'t|'re|'ve|'m|'ll|'d|[{_LETTER}]+|[{_NUMBER}]|[^{_BLANK}{_LETTER}{_NUMBER}]+").findall
+_LETTER, _NUMBER, _BLANK = "a-zªµºß-öø-ÿ", "0-9²³¹¼½¾", "[\u0085\u00a0]"
+#: Whatever is not a run of letters; ASCII white space is cut at later, and _BLANK is made a space before.
+_APART = f"('s|'t|'re|'ve|'m|'ll|'d|[{_NUMBER}]|[^\t\n\x0b\f\r {_LETTER}{_NUMBER}]+)"
+
+
+def _plain(text: str) -> bool:
+    """Whether the rules above make the pieces that the library would make: nothing above U+00FF, no special token."""
+    if not text.isascii():
+        try:
+            text.encode("latin-1")
+        except UnicodeEncodeError:
+            return False
+    return "<|" not in text
 
 
 class WordEncoder:
-    """Runs of anything but white space to their ids as bytes, by the tokenizers library.
+    """Whole texts to their ids as bytes, by the tokenizers library.
 
-    This vocabulary's normaliser and splitter never join what ASCII white space parts, so a text's ids are those of its runs.
-    A run of plain characters is split here into the pieces that the library would make of it, and only new pieces go there,
-    many in one call: each gives exactly one token that ends a word.
+    Plain texts are split by Arrow into the pieces that the library would make of them, some hundreds of texts at a time, and
+    their distinct pieces are looked up. Only new pieces go to the library, many in one call: each gives exactly one token that
+    ends a word. This vocabulary's normaliser and splitter never join what ASCII white space parts, so of other texts each run
+    goes to the library as it is, once.
     """
 
     def __init__(self, path: str):
@@ -83,7 +95,7 @@ class WordEncoder:
         self.ready = Tokenizer.from_file(path)  # for pieces, which its normaliser and splitter would leave as they are
         self.ready.normalizer = None
         self.ready.pre_tokenizer = Sequence([WhitespaceSplit(), ByteLevel(add_prefix_space=False, use_regex=False)])
-        self.runs, self.pieces = Remembered(), Remembered()
+        self.pieces, self.runs = Remembered(), Remembered()
         words = self.library.get_vocab()
         self.ends = np.zeros(max(words.values()) + 1, bool)
         self.ends[[i for word, i in words.items() if word.endswith("</w>")]] = True
@@ -91,39 +103,57 @@ class WordEncoder:
     def _learn_pieces(self, new: list[str]) -> None:
         made = self.ready.encode_batch_fast([" ".join(new)], add_special_tokens=False)[0]  # without offsets
         ids = np.array(made.ids, "<u4")
-        stops = np.flatnonzero(self.ends[ids]) + 1
-        raw, low = ids.tobytes(), 0
-        for piece, high in zip(new, stops.tolist(), strict=True):
-            self.pieces[piece] = raw[4 * low : 4 * high]
-            low = high
-
-    def _learn(self, new: set[bytes]) -> None:
-        plain, other = {}, []
-        for run in new:
-            text = run.decode()
-            if run.isalpha():  # A-Z and a-z alone are one piece
-                plain[run] = (text.lower(),)
-            elif (run.isascii() or max(text) <= "ÿ") and "<|" not in text:
-                plain[run] = _SPLIT(text.lower())
-            else:
-                other.append(run)
+        stops = ((np.flatnonzero(self.ends[ids]) + 1) * 4).tolist()
+        raw, starts = ids.tobytes(), [0, *stops[:-1]]
+        self.pieces.update((piece, raw[i:j]) for piece, i, j in zip(new, starts, stops, strict=True))
+
+    def _encode_plain(self, texts: list[str]) -> list[bytes]:
+        spaced = pc.replace_substring_regex(pc.utf8_lower(pa.array(texts, pa.large_string())), _BLANK, " ")
+        split = pc.ascii_split_whitespace(pc.replace_substring_regex(spaced, _APART, r" \1 "))
+        flat = split.flatten().dictionary_encode()
+        distinct = flat.dictionary.to_numpy(zero_copy_only=False).tolist()  # as strings, faster than to_pylist
         self.pieces.room()
-        if unknown := self.pieces.new({p for pieces in plain.values() for p in pieces}):
+        self.pieces[""] = b""  # where a text begins or ends with white space
+        if unknown := self.pieces.new(set(distinct)):
             self._learn_pieces(list(unknown))
-        found = self.pieces.__getitem__
-        for run, pieces in plain.items():
-            self.runs[run] = b"".join(map(found, pieces))
-        for run, made in zip(other, self.library.encode_batch([r.decode() for r in other], add_special_tokens=False), strict=True):
+        coded = list(map(self.pieces.__getitem__, distinct))
+        ids, sizes = np.frombuffer(b"".join(coded), "<u4"), np.fromiter(map(len, coded), np.int64, len(coded)) // 4
+        places = flat.indices.to_numpy()
+        n = sizes[places]
+        ends = np.cumsum(n)
+        jumps = (np.cumsum(sizes) - sizes)[places] - (ends - n)  # from where an id stands in the result to where it is known
+        made = ids[np.repeat(jumps, n) + np.arange(ends[-1] if len(ends) else 0)]
+        borders = np.concatenate(([0], ends))[np.concatenate(([0], np.cumsum(pc.list_value_length(split).to_numpy())))]
+        return [made[i:j].tobytes() for i, j in zip(borders[:-1].tolist(), borders[1:].tolist(), strict=True)]
+
+    def _encode_runs(self, text: str) -> bytes:
+        runs = [run.decode() for run in text.encode().split()]
+        self.runs.room()
+        new = list(self.runs.new(set(runs)))
+        for run, made in zip(new, self.library.encode_batch(new, add_special_tokens=False), strict=True):
             self.runs[run] = np.array(made.ids, "<u4").tobytes()
+        return b"".join(map(self.runs.__getitem__, runs))
 
-    def encode(self, texts: list[str]) -> list[bytes]:
+    def encode(self, texts: list[str], end: int = END) -> list[bytes]:
         """Ids of each text, with the end id, as little-endian 32-bit integers."""
-        split = [text.encode().split() for text in texts]
-        self.runs.room()
-        if new := self.runs.new(set().union(*split)):
-            self._learn(new)
-        found, end = self.runs.__getitem__, struct.pack("<I", END)
-        return [b"".join(map(found, runs)) + end for runs in split]
+        made: list[bytes] = [b""] * len(texts)
+        some, size, last = [], 0, struct.pack("<I", end)
+
+        def finish() -> None:
+            for i, ids in zip(some, self._encode_plain([texts[i] for i in some]) if some else (), strict=True):
+                made[i] = ids + last
+
+        for i, text in enumerate(texts):
+            if not _plain(text):
+                made[i] = self._encode_runs(text) + last
+                continue
+            if size + len(text) > TOGETHER_CHARS:
+                finish()
+                some, size = [], 0
+            some.append(i)
+            size += len(text)
+        finish()
+        return made
 
 
 def _encoder(path: str) -> WordEncoder:
