@@ -27,8 +27,7 @@ def _trained(spark: SparkSession, sf_dir: str, size: int = BPE_VOCAB) -> tuple[l
     key = (spark.sparkContext.applicationId, sf_dir, size)
     if key not in _TRAINED:
         counts = encode.word_counts(tables.documents(spark, sf_dir))
-        train = bpe.train_counted if size == BPE_FULL else bpe.train
-        pieces, merges, segmented = train(counts, stager(f"bpe-{size}"), vocab_size=size)
+        pieces, merges, segmented = bpe.train(counts, stager(f"bpe-{size}"), vocab_size=size)
         _TRAINED[key] = pieces, merges, stage(segmented, "segmented")
     return _TRAINED[key]
 
@@ -139,8 +138,7 @@ def byte_level_bpe_30k(spark: SparkSession, sf_dir: str) -> DataFrame:
 def _byte_level(spark: SparkSession, sf_dir: str, size: int) -> DataFrame:
     docs = tables.documents(spark, sf_dir).select("doc_id", byte_level_words("text").alias("tokens"))
     counts = stage(docs.select(F.explode("tokens").alias("token")).groupBy("token").agg(F.count("*").alias("n")), "byte-words")
-    train = bpe.train_counted if size == BPE_FULL else bpe.train
-    pieces, merges, _ = train(counts, stager(f"byte-bpe-{size}"), vocab_size=size)
+    pieces, merges, _ = bpe.train(counts, stager(f"byte-bpe-{size}"), vocab_size=size)
     vocab_path, merges_path = new_path(spark, "byte-vocab"), new_path(spark, "byte-merges")
     bpe.save_vocab_and_merges(spark, vocab_path, merges_path, pieces, merges)
     ids = {r.token: r.id for r in readers.read_vocab_json(spark, vocab_path).collect()}
