@@ -79,14 +79,14 @@ SELECT doc_id, lang, strftime(written, '%Y-%m-%dT%H:%M:%S') || CASE WHEN doc_id
        length(text) AS n_chars, md5(text) AS digest
 FROM (SELECT *, TIMESTAMP '2021-04-11 00:00:00' + to_minutes(doc_id) AS written FROM documents)""")
 def write_docs(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Zstandard JSON lines with metadata, times as ISO text."""
+    """Zstandard JSON lines with metadata, times as ISO text; frames of the committed files are read in parallel."""
     docs = tables.documents(spark, sf_dir)
     micros = F.col("doc_id") * 60_000_000 + (F.col("doc_id") % 2) * 250_000
     written = F.timestamp_micros(F.unix_micros(F.lit("2021-04-11T00:00:00Z").cast("timestamp")) + micros)
     meta = F.to_json(F.struct("doc_id", "lang", writers.iso_timestamp(written).alias("written")))
     path = new_path(spark, "zstd")
     writers.write_jsonl(docs.select(writers.json_line("text", meta)), path, "zstd")
-    back = readers.read_jsonl(spark, path, get_meta=True)
+    back = readers.read_jsonl(spark, path, get_meta=True, framed=True)
     meta_of = lambda field: F.get_json_object("meta", f"$.{field}")
     return _described(
         back, meta_of("doc_id").cast("bigint").alias("doc_id"), meta_of("lang").alias("lang"), meta_of("written").alias("written")

@@ -42,6 +42,24 @@ def shared_dir(spark: SparkSession) -> str:
     return _LOCAL_FOLDERS[context.applicationId]
 
 
+def qualified(spark: SparkSession, path: str) -> str:
+    """The path with the scheme of its file system, the session's default one if it names none.
+
+    On a cluster a path on a machine's own disk would scatter files over the executors: only one below the shared folder,
+    which the cluster vouches for, is taken.
+    """
+    jvm = spark.sparkContext._jvm
+    found = jvm.org.apache.hadoop.fs.Path(path)
+    full = found.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).makeQualified(found).toString()
+    scheme, _, rest = full.partition(":")
+    if scheme == "file":
+        full = "file://" + "/" + rest.lstrip("/")
+        shared = shared_dir(spark).removeprefix("file:").rstrip("/") + "/"
+        if not spark.sparkContext.master.startswith("local") and not full[7:].startswith("/" + shared.lstrip("/")):
+            raise ValueError(f"not a folder that every executor can reach: {path}")
+    return full
+
+
 def new_path(spark: SparkSession, label: str) -> str:
     return f"{shared_dir(spark)}/{label}-{uuid.uuid4().hex}"
 

@@ -2,20 +2,24 @@
 
 from __future__ import annotations
 
+import json
 import uuid
 from collections.abc import Iterator
 from dataclasses import dataclass
 
 import pyarrow as pa
+from pyarrow import fs
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.datasource import DataSource, DataSourceArrowWriter, WriterCommitMessage
 from pyspark.sql.types import StructType
 
 from shardloom.functions.arith import div
-from shardloom.session import ship
+from shardloom.session import qualified, ship
+from shardloom.sources import frames
 
 ZSTD_LEVEL = 3
+FRAME_BYTES = 4 << 20  # of text, about
 
 
 def iso_timestamp(ts: Column | str) -> Column:
@@ -34,15 +38,17 @@ def json_line(text: Column | str, meta: Column | None = None) -> Column:
     return F.to_json(F.struct(text.alias("text"), F.parse_json(meta).alias("meta")))
 
 
-def write_jsonl(lines: DataFrame, path: str, compression: str = "zstd") -> None:
+def write_jsonl(lines: DataFrame, path: str, compression: str = "zstd", frame_bytes: int = FRAME_BYTES) -> None:
     """Append a one-column DataFrame of JSON lines as compressed files under `path`.
 
     Spark's text writer has no zstd codec, so that one goes through the `zstd_lines` writer below.
     """
     if compression == "zstd":
         ship(__name__)
+        ship(frames.__name__)
         lines.sparkSession.dataSource.register(ZstdLines)
-        lines.toDF("value").write.format("zstd_lines").mode("append").save(path)
+        options = {"frame_bytes": frame_bytes, "path": qualified(lines.sparkSession, path)}
+        lines.toDF("value").write.format("zstd_lines").options(**options).mode("append").save()
     else:
         lines.toDF("value").write.mode("append").option("compression", compression).text(path)
 
@@ -60,12 +66,17 @@ def write_vocab_json(vocab: DataFrame, path: str, per_file: int | None = None) -
 
 @dataclass
 class _Part(WriterCommitMessage):
-    staged: str
-    final: str
+    file: str
+    bytes: int
+    lines: int
 
 
 class ZstdLines(DataSource):
-    """Text lines in .zst files, readable by Spark's own text source."""
+    """Text lines in .zst files of many frames, readable by zstd itself and by Spark's own text source.
+
+    A frame ends at a line's end, about every FRAME_BYTES of text. The file closes with a frame that zstd skips: where each
+    frame starts, how long it is and how many lines it has. `readers.read_framed` deals frames out to tasks by it.
+    """
 
     @classmethod
     def name(cls) -> str:
@@ -75,44 +86,63 @@ class ZstdLines(DataSource):
         return "value string"
 
     def writer(self, schema: StructType, overwrite: bool) -> DataSourceArrowWriter:
-        return _ZstdWriter(self.options["path"], int(self.options.get("level", ZSTD_LEVEL)))
+        return _ZstdWriter(self.options["path"], int(self.options.get("level", ZSTD_LEVEL)), int(self.options.get("frame_bytes", FRAME_BYTES)))
 
 
 class _ZstdWriter(DataSourceArrowWriter):
-    """Each task attempt writes its own hidden file; the driver renames those of the attempts that count."""
-
-    def __init__(self, path: str, level: int):
-        self.path = path
-        self.level = level
+    """Each task attempt writes a file of its own name; the driver commits by writing one list of those that count.
 
-    def _open(self):
-        from pyarrow import fs
+    The list goes to `<path>.manifest` under a new name, in one step, so readers see all of a write or nothing. Files of
+    attempts that were lost are in no list; of this write they are deleted too, for tools that read the folder itself.
+    """
 
-        if "://" not in self.path and not self.path.startswith("file:"):
-            return fs.LocalFileSystem(), self.path.rstrip("/")
-        return fs.FileSystem.from_uri(self.path.rstrip("/"))
+    def __init__(self, path: str, level: int, frame_bytes: int):
+        self.path, self.level, self.frame_bytes = path.rstrip("/"), level, frame_bytes
+        self.write_id = uuid.uuid4().hex
 
     def write(self, iterator: Iterator[pa.RecordBatch]) -> WriterCommitMessage:
         import zstandard
         from pyspark import TaskContext
 
-        files, root = self._open()
-        task = TaskContext.get().partitionId()
-        name = f"part-{task:05d}-{uuid.uuid4().hex}.jsonl.zst"
-        part = _Part(f"{root}/_staged-{name}", f"{root}/{name}")
+        files, root = fs.FileSystem.from_uri(self.path)
+        name = f"part-{self.write_id}-{TaskContext.get().partitionId():05d}-{uuid.uuid4().hex}.jsonl.zst"
         files.create_dir(root, recursive=True)
-        with files.open_output_stream(part.staged, compression=None) as sink:
-            with zstandard.ZstdCompressor(level=self.level).stream_writer(sink, closefd=False) as out:
-                for batch in iterator:
-                    out.write(b"".join(line + b"\n" for line in batch.column(0).cast(pa.binary()).to_pylist()))
-        return part
+        tool = zstandard.ZstdCompressor(level=self.level)
+        index, held, size, place = [], [], 0, 0
+        with files.open_output_stream(f"{root}/{name}", compression=None) as sink:
+            for batch in iterator:
+                for line in batch.column(0).cast(pa.binary()):
+                    held.append((line.as_py() or b"") + b"\n")
+                    size += len(held[-1])
+                    if size >= self.frame_bytes:
+                        frame = tool.compress(b"".join(held))
+                        sink.write(frame)
+                        index.append((place, len(frame), len(held)))
+                        held, size, place = [], 0, place + len(frame)
+            if held:
+                frame = tool.compress(b"".join(held))
+                sink.write(frame)
+                index.append((place, len(frame), len(held)))
+                place += len(frame)
+            sink.write(frames.index_frame(index))
+        return _Part(name, place, sum(n for _, _, n in index))
 
     def commit(self, messages: list[WriterCommitMessage | None]) -> None:
-        files, _ = self._open()
-        for part in filter(None, messages):
-            files.move(part.staged, part.final)
+        files, root = fs.FileSystem.from_uri(self.path)
+        parts = [part for part in messages if part]
+        kept = {part.file for part in parts}
+        files.create_dir(f"{root}.manifest", recursive=True)
+        rows = "".join(json.dumps({"file": f"{self.path}/{p.file}", "bytes": p.bytes, "lines": p.lines}) + "\n" for p in parts)
+        staged = f"{root}.manifest/_{self.write_id}"
+        with files.open_output_stream(staged, compression=None) as sink:
+            sink.write(rows.encode())
+        files.move(staged, f"{root}.manifest/write-{self.write_id}.json")
+        self._delete(files, root, kept)
 
     def abort(self, messages: list[WriterCommitMessage | None]) -> None:
-        files, _ = self._open()
-        for part in filter(None, messages):
-            files.delete_file(part.staged)
+        self._delete(*fs.FileSystem.from_uri(self.path), set())
+
+    def _delete(self, files: fs.FileSystem, root: str, kept: set[str]) -> None:
+        for found in files.get_file_info(fs.FileSelector(root, allow_not_found=True)):
+            if found.base_name.startswith(f"part-{self.write_id}-") and found.base_name not in kept:
+                files.delete_file(found.path)

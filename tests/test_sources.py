@@ -7,7 +7,7 @@ import pytest
 import zstandard
 from pyspark.sql import functions as F
 
-from shardloom.sources import readers, writers
+from shardloom.sources import frames, readers, writers
 
 LINES = [
     {"text": "one", "meta": {"a": 1, "b": ["x"]}},
@@ -124,6 +124,54 @@ def test_written_documents_come_back(spark, tmp_path, codec):
         assert not list((tmp_path / "out").glob("_staged*"))
 
 
+def test_one_large_file_is_read_by_many_tasks(spark, tmp_path):
+    path = str(tmp_path / "out")
+    lines = spark.range(0, 5_000, 1, 1).select(F.concat(F.lit("é "), F.col("id"), F.lit(" "), F.repeat(F.md5(F.col("id").cast("string")), 4)).alias("value"))
+    writers.write_jsonl(lines, path, "zstd", frame_bytes=20_000)
+    (file,) = (tmp_path / "out").glob("part-*.zst")
+    with file.open("rb") as source:
+        index = frames.read_index(source, file.stat().st_size)
+    assert len(index) > 30 and sum(n for _, _, n in index) == 5_000
+    back = readers.read_framed(spark, path, task_bytes=8_000)
+    tasks = back.select("*", F.spark_partition_id().alias("task")).collect()
+    assert len({r.task for r in tasks}) > 3
+    want = [r.value for r in lines.collect()]
+    assert [(r.doc_no, r.text) for r in sorted(tasks, key=lambda r: r.doc_no)] == list(enumerate(want))
+    plain = zstandard.ZstdDecompressor().stream_reader(file.open("rb"), read_across_frames=True).read()
+    assert plain.decode().splitlines() == want
+    by_spark = readers.read_lines(spark, path).collect()  # its own codec skips the index
+    assert sorted((r.shard, r.doc_no, r.text) for r in by_spark) == sorted((r.shard, r.doc_no, r.text) for r in tasks)
+
+
+def test_only_committed_files_are_read(spark, tmp_path):
+    path = str(tmp_path / "out")
+    writers.write_jsonl(spark.createDataFrame([("a",), ("b",)], "value string"), path, "zstd")
+    before = sorted((tmp_path / "out").glob("part-*"))
+    stray = tmp_path / "out" / "part-other-00000-x.jsonl.zst"  # a lost attempt of a write that never ended
+    stray.write_bytes(before[0].read_bytes())
+    writer = writers._ZstdWriter(f"file://{path}", 3, 100)
+    names = [f"part-{writer.write_id}-00000-{k}.jsonl.zst" for k in ("kept", "lost")]  # two attempts of one task
+    for name in names:
+        frame = zstandard.ZstdCompressor().compress(b"c\n")
+        (tmp_path / "out" / name).write_bytes(frame + frames.index_frame([(0, len(frame), 1)]))
+    assert sorted(r.text for r in readers.read_framed(spark, path).collect()) == ["a", "b"]  # not committed yet
+    writer.commit([writers._Part(names[0], 11, 1), None])
+    assert sorted(r.text for r in readers.read_framed(spark, path).collect()) == ["a", "b", "c"]
+    assert not (tmp_path / "out" / names[1]).exists() and stray.exists()
+    aborted = writers._ZstdWriter(f"file://{path}", 3, 100)
+    (tmp_path / "out" / f"part-{aborted.write_id}-00000-x.jsonl.zst").write_bytes(b"")
+    aborted.abort([None])
+    assert not list((tmp_path / "out").glob(f"part-{aborted.write_id}-*"))
+
+
+def test_empty_frames(spark, tmp_path):
+    path = str(tmp_path / "out")
+    writers.write_jsonl(spark.createDataFrame([], "value string"), path, "zstd")
+    assert readers.read_framed(spark, path).collect() == []
+    assert frames.read_index(io.BytesIO(b"short"), 5) is None
+    assert frames.read_index(io.BytesIO(b"x" * 100), 100) is None
+
+
 def test_iso_times(spark):
     times = [datetime.datetime(2021, 4, 11, 1, 2, 3), datetime.datetime(2021, 4, 11, 1, 2, 3, 45)]
     df = spark.createDataFrame([(t,) for t in times], "t timestamp_ntz")
