@@ -68,3 +68,48 @@ def validation_limit(max_eval_steps: Column, accumulate: Column, mode: str = "si
 def evaluates_after(batch_id: Column, n_batches: Column, interval: Column) -> Column:
     """Whether an evaluation follows this micro-batch."""
     return F.coalesce((batch_id + 1) % interval == 0, batch_id + 1 == n_batches)
+
+
+def kept_batches(n_batches: Column, limit: Column, accumulate: Column) -> Column:
+    """How many micro-batches of an epoch a budget keeps."""
+    return F.when(limit > 0, F.least(limit * accumulate, n_batches)).otherwise(n_batches).cast("bigint")
+
+
+def run_budgets(runs: DataFrame, n_blocks: int, val_blocks: int, val_batch: int, max_eval_steps: int) -> DataFrame:
+    """What an epoch of n_blocks is for each run, by arithmetic on its settings: no block or batch is listed.
+
+    runs(size, batch_size, n_ctx, limit_train_batches, eval_interval) get mini, accumulate, n_batches (kept), n_steps, n_tokens,
+    dataset_size, interval (micro-batches between evaluations), n_evals and val_batches (per evaluation). An interval of zero or
+    less, and one longer than what is kept, gives one evaluation at the end or none, as the schedule of an epoch does.
+    """
+    mini = mini_batch_size(F.col("size")).cast("bigint")
+    found = runs.withColumn("mini", mini).withColumn("accumulate", accumulate_batches(F.col("batch_size"), F.col("mini")))
+    whole = div(F.lit(n_blocks), F.col("mini"))
+    found = found.withColumn("n_batches", kept_batches(whole, F.col("limit_train_batches"), F.col("accumulate")))
+    found = found.withColumn("interval", evaluation_interval(F.col("eval_interval"), F.col("accumulate")))
+    once = F.when(F.col("n_batches") > 0, F.lit(1)).otherwise(0)
+    return found.select(
+        *runs.columns,
+        "mini",
+        "accumulate",
+        "n_batches",
+        div(F.col("n_batches") + F.col("accumulate") - 1, F.col("accumulate")).alias("n_steps"),
+        (F.col("n_batches") * F.col("mini") * F.col("n_ctx")).alias("n_tokens"),
+        budget_tokens(F.col("limit_train_batches"), F.col("batch_size"), F.col("n_ctx")).alias("dataset_size"),
+        "interval",
+        F.coalesce(div("n_batches", F.col("interval")), once).cast("bigint").alias("n_evals"),
+        F.least(F.lit(max_eval_steps), div(F.lit(val_blocks), val_batch)).cast("bigint").alias("val_batches"),
+    )
+
+
+def run_evaluations(budgets: DataFrame) -> DataFrame:
+    """One row per evaluation of a run's epoch: the micro-batch it follows, and the blocks [from, to) trained since the last."""
+    counted = budgets.filter("n_evals > 0").select("*", F.explode(F.sequence(F.lit(0), F.col("n_evals") - 1)).alias("eval_no"))
+    length = F.coalesce("interval", "n_batches")
+    return counted.select(
+        *budgets.columns,
+        F.col("eval_no").cast("bigint").alias("eval_no"),
+        ((F.col("eval_no") + 1) * length - 1).cast("bigint").alias("batch_id"),
+        (F.col("eval_no") * length * F.col("mini")).cast("bigint").alias("from_block"),
+        ((F.col("eval_no") + 1) * length * F.col("mini")).cast("bigint").alias("to_block"),
+    )

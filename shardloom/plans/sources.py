@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from shardloom.operators import encode
+from shardloom.operators import encode, splits
 from shardloom.plans import tables
 from shardloom.plans.registry import query
 from shardloom.plans.sql import TOKENS, VOCAB
@@ -59,6 +59,24 @@ def list_shards(spark: SparkSession, sf_dir: str) -> DataFrame:
     return readers.list_shards(tables.documents(spark, sf_dir))
 
 
+@query("""
+SELECT shard, row_number() OVER (ORDER BY shard) - 1 AS shard_rank, n_bytes FROM (
+  SELECT source AS shard, sum(octet_length(encode(text)) + 1)::BIGINT AS n_bytes FROM documents GROUP BY source
+  UNION ALL SELECT source || '-blank', 1 FROM (SELECT DISTINCT source FROM documents))""")
+def list_files(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Shards of a folder with their sizes and ranks by name; every second one is a file of one line break.
+
+    The folder's files hold documents as text, so that sizes are known.
+    """
+    docs, path = tables.documents(spark, sf_dir), new_path(spark, "listed")
+    docs.select("shard", "text").write.partitionBy("shard").text(path)
+    blank = docs.select(F.concat("shard", F.lit("-blank")).alias("shard")).distinct()
+    blank.select("shard", F.lit("").alias("text")).write.mode("append").partitionBy("shard").text(path)
+    found = readers.list_files(spark, path).withColumn("shard", F.regexp_extract("shard", "shard=([^/]+)/", 1))
+    sizes = found.groupBy("shard").agg(F.sum("n_bytes").alias("n_bytes"))
+    return splits.rank_shards(sizes.select("shard"), 0, 0).join(sizes, "shard").select("shard", "shard_rank", "n_bytes")
+
+
 @query(f"WITH {VOCAB} SELECT token, id FROM vocab")
 def vocab_text(spark: SparkSession, sf_dir: str) -> DataFrame:
     path = new_path(spark, "vocab-text")
