@@ -52,8 +52,8 @@ def test_budgets_and_evaluations(spark, n_blocks):
 
 def test_files_are_listed_without_reading(spark, tmp_path):
     (tmp_path / "deep").mkdir()
-    for name, content in (("a.txt", b""), ("deep/b.jsonl.zst", b"not zstd at all"), ("c", b"xyz")):
+    for name, content in (("a.txt", b""), ("deep/b.jsonl.zst", b"not zstd at all"), ("c d", b"xyz")):
         (tmp_path / name).write_bytes(content)
     found = readers.list_files(spark, str(tmp_path))
-    assert sorted((r.shard.split(f"{tmp_path.name}/")[1], r.n_bytes) for r in found.collect()) == [("a.txt", 0), ("c", 3), ("deep/b.jsonl.zst", 15)]
+    assert sorted((r.shard.split(f"{tmp_path.name}/")[1], r.n_bytes) for r in found.collect()) == [("a.txt", 0), ("c d", 3), ("deep/b.jsonl.zst", 15)]
     assert "content" not in found._jdf.queryExecution().executedPlan().toString().split("ReadSchema")[-1]
