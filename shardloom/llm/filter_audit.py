@@ -26,6 +26,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window as W
 
 from shardloom.llm.common import send
+from shardloom.session import stage
 
 LETTERS = "ABCDE"
 COUNTS = ("kept", "removed", "redundant", "unique_fails", "good_lost", "toxic_lost")
@@ -57,13 +58,13 @@ def _read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 def failures(docs: DataFrame, labels: DataFrame) -> DataFrame:
     """docs(doc_id, source, text) and labels(doc_id, quality, toxic) to cells: part, mask, docs, good, toxic (counts).
 
-    Texts are read once; a digest stands for each from there on. Rows with the smallest doc_id of their digest are found by a
+    Texts are read once; a digest stands for each from there on, in a written table that is read several times. Rows with the smallest doc_id of their digest are found by a
     join on both, so that thousands of copies of a text are spread by their doc_ids, and equal rows are one row with a count.
     """
     send(__name__)
     rows = docs.select(F.coalesce("source", F.lit("")).alias("part"), F.col("doc_id").cast("bigint").alias("id"), "text")
     rows = rows.mapInArrow(_read, "part string, id bigint, digest binary, mask int")
-    rows = rows.groupBy("part", "id", "digest", "mask").agg(F.count("*").alias("docs"))
+    rows = stage(rows.groupBy("part", "id", "digest", "mask").agg(F.count("*").alias("docs")), "audit-rows")
     named = rows.filter("id is not null")
     first = named.groupBy("digest").agg(F.min("id").alias("id")).withColumn("first", F.lit(True))
     marked = [F.max(F.coalesce(F.col(c) == 1, F.lit(False))).alias(c) for c in ("quality", "toxic")]
