@@ -74,7 +74,7 @@ def list_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     blank.select("shard", F.lit("").alias("text")).write.mode("append").partitionBy("shard").text(path)
     found = readers.list_files(spark, path).withColumn("shard", F.regexp_extract("shard", "shard=([^/]+)/", 1))
     sizes = found.groupBy("shard").agg(F.sum("n_bytes").alias("n_bytes"))
-    return splits.rank_shards(sizes.select("shard"), 0, 0).join(sizes, "shard").select("shard", "shard_rank", "n_bytes")
+    return splits.rank_shards(sizes.select("shard"), 0, 0).join(sizes, "shard").select("shard", F.col("shard_rank").cast("bigint").alias("shard_rank"), "n_bytes")
 
 
 @query(f"WITH {VOCAB} SELECT token, id FROM vocab")
