@@ -7,7 +7,10 @@ ones first with ties broken by one hash, and by another. Pairs share a token und
 compared. Tokens are 64-bit hashes of shingles.
 
 Copies are one node from the start. Of the other candidates only what connectivity needs is compared: first every token's
-documents with the one that has the fewest tokens of its own, then all pairs that are not connected yet.
+documents with the one that has the fewest tokens of its own, then all pairs that are not connected yet. Prefixes cannot tell
+apart documents that have half of their tokens in common, so the second step also compares, inside its join, which of
+PARITY_BITS groups of tokens have an odd number of members: two sets differ by at least as many tokens as they differ in
+groups, so no link is lost. Beyond some 2,500 tokens a set that bound says less, and more pairs are compared whole.
 
 Nulls: a null text is empty; an empty set links with nothing. Rows with a null doc_id are returned with a null component
 and link with nothing. Rows that share a doc_id are one document with the links of all its texts. An empty table gives no rows.
@@ -23,7 +26,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from shardloom.llm.common import send
+from shardloom.llm.common import WORD, send
 from shardloom.llm.components import components
 from shardloom.session import stage
 
@@ -31,8 +34,10 @@ SHINGLE = 4
 PERCENT = 85
 LOW_PERCENT = 20  # share of tokens, those with the smallest hashes, that the first order counts
 CHUNK = 1 << 20  # bytes hashed at a time
-_POWERS = np.cumprod(np.full(1 << 16, 0x9E3779B97F4A7C15, np.uint64))
-_PLACES = np.array([0xD6E8FEB86659FD93, 0xA0761D6478BD642F, 0xE7037ED1A0B428DB, 0x8EBC6AF09C88C6E3, 0x589965CC75374CC3], np.uint64)
+PARITY_BITS = 1024
+_STEP = np.uint64(0x9E3779B97F4A7C15)
+_POWERS = np.cumprod(np.full(1 << 16, _STEP))
+_FAR = np.concatenate(([np.uint64(1)], np.cumprod(np.full((1 << 15) - 1, _POWERS[-1]))))  # powers for each 65,536 bytes of a word
 _SPACE = np.zeros(256, bool)
 _SPACE[[9, 10, 11, 12, 13, 32]] = True
 
@@ -43,6 +48,11 @@ def _mix(x: np.ndarray) -> np.ndarray:
     return x ^ (x >> np.uint64(31))
 
 
+def _places(width: int) -> np.ndarray:
+    """Odd multipliers, another one for each place in a shingle."""
+    return _mix(np.arange(1, width + 1, dtype=np.uint64) * _STEP) | np.uint64(1)
+
+
 def _words(data: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """Hashes and starts of the words in bytes."""
     letter = ~_SPACE[data]
@@ -51,13 +61,16 @@ def _words(data: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         return np.empty(0, np.uint64), starts
     rest = data[starts[0] :]
     at = np.arange(len(rest)) - np.repeat(starts - starts[0], np.diff(np.append(starts, len(data))))
-    terms = np.where(letter[starts[0] :], rest.astype(np.uint64) + np.uint64(1), 0) * _POWERS[at & 0xFFFF]
+    powers = _POWERS[at & 0xFFFF]
+    if at.max() > 0xFFFF:
+        powers = powers * _FAR[at >> 16]
+    terms = np.where(letter[starts[0] :], rest.astype(np.uint64) + np.uint64(1), 0) * powers
     return _mix(np.add.reduceat(terms, starts - starts[0])), starts
 
 
 def shingle_sets(texts: list[str | None], width: int) -> Iterator[np.ndarray]:
     """Sorted distinct hashes (as signed longs) of each text's shingles; one of all words if there are fewer."""
-    raws = [(t or "").encode().lower() for t in texts]
+    raws, places = [(t or "").encode().lower() for t in texts], _places(width)
     low = 0
     while low < len(raws):
         high, size = low + 1, len(raws[low])
@@ -69,26 +82,32 @@ def shingle_sets(texts: list[str | None], width: int) -> Iterator[np.ndarray]:
         ends = np.cumsum([len(r) + 1 for r in some])
         cuts = np.concatenate(([0], np.searchsorted(starts, ends)))
         n = max(0, len(words) - width + 1)
-        rows = _mix(sum(words[i : i + n] * _PLACES[i % 5] + np.uint64(i // 5) for i in range(width))) if n else words[:0]
+        rows = _mix(sum(words[i : i + n] * places[i] for i in range(width))) if n else words[:0]
         for first, last in zip(cuts[:-1].tolist(), cuts[1:].tolist(), strict=True):
             if last - first >= width:
                 own = rows[first : last - width + 1]
             elif last > first:
                 few = words[first:last]
-                own = _mix(np.array([(few * _PLACES[: len(few)] if len(few) <= 5 else few).sum() + np.uint64(last - first)], np.uint64))
+                own = _mix(np.array([(few * places[: len(few)]).sum() + np.uint64(last - first)], np.uint64))
             else:
                 own = words[:0]
             yield np.unique(own.view(np.int64))
         low = high
 
 
+def parities(tokens: np.ndarray) -> np.ndarray:
+    """PARITY_BITS bits as longs: whether an odd number of the tokens falls into a group."""
+    odd = np.bincount(tokens & (PARITY_BITS - 1), minlength=PARITY_BITS) & 1
+    return np.packbits(odd.astype(bool), bitorder="little").view(np.int64)
+
+
 def prefix_size(n: Column, percent: int) -> Column:
     """How many first tokens of a set of n must meet those of any set that is similar enough."""
     return n - F.ceil(n * percent / F.lit(100)).cast("int") + 1
 
 
 def token_sets(docs: DataFrame, width: int, percent: int, whole: bool) -> DataFrame:
-    """doc_id, n, a 128-bit signature of the set, and its tokens: all, or the low ones and at least the first order's prefix."""
+    """doc_id, n, a 128-bit signature of the set, and its tokens: all with their parities, or the low ones and at least the first order's prefix."""
     send(__name__)
     border = np.int64(-(1 << 63) + (1 << 64) * LOW_PERCENT // 100)
 
@@ -96,20 +115,22 @@ def token_sets(docs: DataFrame, width: int, percent: int, whole: bool) -> DataFr
         for batch in batches:
             for low in range(0, len(batch), 500):
                 part = batch.slice(low, 500)
-                sizes, signs, kept = [], [], []
+                sizes, signs, kept, odd = [], [], [], []
                 for tokens in shingle_sets(part.column(1).to_pylist(), width):
                     n = len(tokens)
                     sizes.append(n)
                     signs.append(np.frombuffer(hashlib.blake2b(tokens.tobytes(), digest_size=16).digest(), np.int64))
                     least = n - -(-n * percent // 100) + 1 if n else 0
                     kept.append(tokens if whole else tokens[: max(least, int(np.searchsorted(tokens, border)))])
+                    odd.append(parities(tokens) if whole else None)
                 offsets = pa.array(np.concatenate(([0], np.cumsum([len(k) for k in kept]))).astype(np.int32))
                 lists = pa.ListArray.from_arrays(offsets, pa.array(np.concatenate(kept)))
                 signs = np.stack(signs)
                 arrays = [part.column(0), pa.array(sizes, pa.int32()), pa.array(signs[:, 0]), pa.array(signs[:, 1]), lists]
-                yield pa.RecordBatch.from_arrays(arrays, ["doc_id", "n", "s1", "s2", "tokens"])
+                arrays.append(pa.array(odd, pa.list_(pa.int64())))
+                yield pa.RecordBatch.from_arrays(arrays, ["doc_id", "n", "s1", "s2", "tokens", "odd"])
 
-    schema = "doc_id bigint, n int, s1 bigint, s2 bigint, tokens array<bigint>"
+    schema = "doc_id bigint, n int, s1 bigint, s2 bigint, tokens array<bigint>, odd array<bigint>"
     return docs.selectExpr("cast(doc_id as bigint) doc_id", "text").mapInArrow(run, schema)
 
 
@@ -189,9 +210,13 @@ def linked(docs: DataFrame, width: int = SHINGLE, percent: int = PERCENT) -> Dat
     found = stage(components(first), "found")
     placed = meetings.join(found, "node", "left").withColumn("component", F.coalesce("component", "node"))
     split = placed.groupBy("token").agg(F.min("component").alias("least"), F.max("component").alias("most"))
-    placed = stage(placed.join(split.filter("least <> most").select("token"), "token"), "placed")
+    placed = placed.join(split.filter("least <> most").select("token"), "token")
+    odd = full.select("node", *[F.col("odd")[i].alias(f"odd{i}") for i in range(PARITY_BITS // 64)])
+    placed = stage(placed.join(odd, "node"), "placed")
     x, y = placed.alias("x"), placed.alias("y")
-    rest = x.join(y, F.expr("x.token = y.token and x.node < y.node and x.component <> y.component") & similar_sizes("x", "y"))
+    apart = sum((F.bit_count(F.col(f"x.odd{i}").bitwiseXOR(F.col(f"y.odd{i}"))) for i in range(PARITY_BITS // 64)), F.lit(0))
+    close = apart * (100 + percent) <= (F.col("x.n") + F.col("y.n")) * (100 - percent)  # the most tokens that linked sets differ by
+    rest = x.join(y, F.expr("x.token = y.token and x.node < y.node and x.component <> y.component") & similar_sizes("x", "y") & close)
     rest = rest.select(F.col("x.node").alias("a"), F.col("y.node").alias("b")).distinct().join(stars, ["a", "b"], "left_anti")
     second = links(stage(rest, "rest"))
 
@@ -205,7 +230,23 @@ def linked(docs: DataFrame, width: int = SHINGLE, percent: int = PERCENT) -> Dat
 
 
 def keep_first(docs: DataFrame, width: int = SHINGLE, percent: int = PERCENT) -> DataFrame:
-    """The documents without all but the first of each component, with all their columns."""
-    gone = linked(docs, width, percent).filter("doc_id <> component_id").select(F.col("doc_id").alias("_gone")).distinct()
-    gone = stage(gone, "gone")
-    return docs.join(gone, docs["doc_id"] == gone["_gone"], "left_anti")
+    """The documents without all but the first of each component, with all their columns.
+
+    Of rows that share a doc_id the one with the smallest text (by its digest) stays, of rows without a doc_id one for each
+    text that has a word.
+    """
+    found = linked(docs, width, percent).filter("doc_id <> component_id").select(F.col("doc_id").alias("_gone")).distinct()
+    given = F.struct(*[F.col(c) for c in docs.columns]).alias("_given")  # so that no name of theirs meets one of ours
+    digest = F.sha2(F.col("text").cast("binary"), 256)
+    nameless = F.col("doc_id").isNull() & F.col("text").rlike(WORD)
+    rows = docs.select(
+        given, F.col("doc_id").cast("bigint").alias("_id"), F.when(nameless, digest).alias("_text"), (F.col("doc_id").isNotNull() | nameless).alias("_one")
+    )
+    rows = rows.join(stage(found, "gone"), F.col("_id") == F.col("_gone"), "left_anti")
+    # Rows are rarely repeated: only those that are meet their like, each with its digest.
+    keys = rows.filter("_one").groupBy("_id", "_text").agg(F.count("*").alias("_n")).filter("_n > 1")
+    keys = stage(keys.select(F.col("_id").alias("_same_id"), F.col("_text").alias("_same_text")), "repeated")
+    same = F.expr("_one and _id <=> _same_id and _text <=> _same_text")
+    text = F.sha2(F.col("_given")["text"].cast("binary"), 256)
+    first = rows.join(keys, same, "left_semi").groupBy("_id", "_text").agg(F.min_by("_given", F.coalesce(text, F.lit(""))).alias("_given"))
+    return rows.join(keys, same, "left_anti").select("_given").unionByName(first.select("_given")).select("_given.*")
