@@ -195,3 +195,26 @@ def test_full_training_equals_the_tokenizers_library(spark, stager):
     tokenizer.train_from_iterator([r.text for r in docs.collect()], trainers.BpeTrainer(vocab_size=30_000, show_progress=False))
     vocab = tokenizer.get_vocab()
     assert len(pieces) > 1_000 and pieces == sorted(vocab, key=vocab.get)
+
+
+def test_routed_words_equal_the_tokenizers_library(spark, stager):
+    """Each row by its own tokenizer; characters without a piece leave a word before it is merged; repeated rows stay."""
+    docs = {"en": "low lower lowest newer wider low new", "de": "über übel hübsch über übrig hübscher"}
+    counted = [(lang, w, n) for lang, text in docs.items() for w, n in Counter(text.split()).items()]
+    counts = stager(spark.createDataFrame(counted, "lang string, token string, n bigint"))
+    trained = bpe.train_each(counts, "lang", ["de", "en"], stager, vocab_size=30)
+    assert trained["en"] == bpe.train(counts.filter("lang = 'en'"), stager, vocab_size=30)[:2]
+    words_ = ["lower", "übrig", "lüower", "new-new", "漢", "hübschest", ""]
+    rows = [(route, w) for route in ("en", "de") for w in words_] + [("xx", "low")]
+    got = {(r.route, r.token): (r.ids, r.n_unknown) for r in bpe.segment_routed(spark.createDataFrame(rows, "route string, token string"), trained).collect()}
+    for name, (pieces, merges) in trained.items():
+        library = Tokenizer(models.BPE(vocab={p: i for i, p in enumerate(pieces)}, merges=merges))
+        for w in words_:
+            assert got[name, w] == (library.encode(w).ids, sum(c not in pieces for c in w)), (name, w)
+    assert got["xx", "low"] == ([], 3)
+
+    segmented = stager(spark.createDataFrame([(r, t, 1, i) for (r, t), (i, _) in got.items()], "route string, token string, n bigint, ids array<bigint>"))
+    texts = [(1, "en", ["lower", "new-new"]), (1, "en", ["lower", "new-new"]), (2, "de", ["lower", "übrig"]), (3, "de", []), (4, None, ["lower"])]
+    df = spark.createDataFrame(texts, "doc bigint, route string, tokens array<string>")
+    want = sorted((d, sum((got[r, t][0] for t in ts), []) if r else []) for d, r, ts in texts)
+    assert sorted((r.doc, r.ids) for r in bpe.encode_routed(df, ["doc"], segmented).collect()) == want
