@@ -8,7 +8,9 @@ from tokenizers import Tokenizer, models, pre_tokenizers, trainers
 
 from shardloom.functions.text import byte_level_words, bytes_to_text, words
 from shardloom.operators import bpe, bpe_rounds, encode
+from shardloom.operators import lookup as lookups
 from shardloom.operators.lookup import lookup, map_items
+from shardloom.session import stage
 from shardloom.sources import readers
 
 
@@ -122,6 +124,45 @@ def test_map_items_both_ways(spark, limit):
     assert sorted(((r.k, r.ids) for r in got), key=str) == sorted(want, key=str)
 
 
+def test_map_items_moves_rare_items_only(spark, monkeypatch):
+    """Frequent items are replaced where the arrays are; an array joins what it misses once an item, in any place and type."""
+    stored = []
+    monkeypatch.setattr(lookups, "stage", lambda df, label: stored.append(stage(df, label)) or stored[-1])
+    rng = random.Random(5)
+    names = [f"w{i}" for i in range(40)]
+    arrays = [[rng.choice([*names, "unknown", None]) for _ in range(rng.randint(0, 30))] for _ in range(200)] + [["w0", "w1", "w0"]]
+    rows = spark.createDataFrame(list(enumerate(arrays)), "k int, items array<string>")
+    values = {w: [i] * (i % 3) for i, w in enumerate(names)}
+    table = spark.createDataFrame([(w, v, i < 10) for i, (w, v) in enumerate(values.items())], "item string, value array<bigint>, hot boolean")
+    got = map_items(rows, ["k"], "items", table, [], "out", map_side_rows=0).collect()
+    assert {r.k: r.out for r in got} == {k: [values.get(w, []) for w in a] for k, a in enumerate(arrays)}
+    head = set(names[:10])
+    assert {r.k: sorted(r.missed) for r in stored[0].collect()} == {k: sorted({w for w in a if w and w not in head}) for k, a in enumerate(arrays)}
+
+
+def test_lookup_evaluates_its_rows_once(spark):
+    """Nested lookups into large tables: the plan grows by a join each, and copies only rows that are hot."""
+    read = spark.sparkContext.accumulator(0)
+
+    def count(batches):
+        for batch in batches:
+            read.add(len(batch))
+            yield batch
+
+    rows = spark.range(100).select("id", (F.col("id") % 7).alias("k")).mapInPandas(count, "id bigint, k bigint")
+    table = spark.range(7).select(F.col("id").alias("k"), (F.col("id") < 1).alias("hot"))
+    for name in ("a", "b", "c"):
+        rows = lookup(rows, ["k"], table.withColumn(name, F.col("k") + 1), F.col("id"), head_rows=1)
+    got = rows.collect()
+    assert sorted(r.id for r in got) == list(range(100)) and all(r.a == r.b == r.c == r.k + 1 for r in got)
+    assert read.value == 100
+
+
+def test_broadcasts_are_bounded_by_bytes(spark):
+    few_but_wide = spark.range(40).select("id", F.lit("x").alias("text")).withColumn("text", F.repeat("text", F.lit(1 << 20)))
+    assert not lookups._fits(few_but_wide, 100) and lookups._fits(few_but_wide.limit(3), 100)
+
+
 def test_lookup_with_head_and_tail(spark):
     rows = spark.range(1_000).select("id", F.when(F.col("id") % 3 == 0, 0).otherwise(F.col("id") % 50).alias("k"))
     table = spark.range(40).select(F.col("id").alias("k"), (F.col("id") * 2).alias("v"), (F.col("id") < 5).alias("hot"))
