@@ -46,6 +46,9 @@ def plain_bpe(counts, vocab_size):
     return pieces, merges, split
 
 
+leads = bpe_rounds.leads
+
+
 def random_words(seed, letters, n):
     rng = random.Random(seed)
     return {"".join(rng.choice(letters) for _ in range(rng.randint(1, 9))): rng.randint(1, 6) for _ in range(n)}
@@ -102,6 +105,21 @@ def test_rounds_equal_one_merge_at_a_time(seed):
     assert rounds_in_memory(counts, size, rng.choice([1, 3, 1000])) == (want_pieces, want_merges)
 
 
+@pytest.mark.parametrize("top,least", [(12, 1), (12, 6), (3, 1)])
+def test_training_on_the_most_frequent_pairs_of_a_round(spark, stager, monkeypatch, top, least):
+    """The driver sees a few pairs a round; with equal counts at the cut the executors decide. The merges stay the same."""
+    monkeypatch.setattr(bpe, "TOP_PAIRS", top)
+    monkeypatch.setattr(bpe, "LEAST_PAIRS", least)
+    seen = []
+    monkeypatch.setattr(bpe_rounds, "leads", lambda turns, left, *more: seen.append(len(left)) or leads(turns, left, *more))
+    counts = random_words(11, "abcdefg", 150)
+    df = spark.createDataFrame(list(counts.items()), "token string, n bigint")
+    pieces, merges, segmented = bpe.train(df, stager, vocab_size=25)
+    want_pieces, want_merges, want_split = plain_bpe(counts, 25)
+    assert (pieces, merges) == (want_pieces, want_merges) and max(seen) <= top
+    assert {r.token: r.ids for r in segmented.collect()} == want_split
+
+
 def test_training_equals_the_tokenizers_library(spark, stager):
     docs = spark.read.parquet("/root/testdata/sf0.001/documents.parquet").filter("doc_id < 40")
     pieces, merges, _ = bpe.train(encode.word_counts(docs), stager, vocab_size=150)
