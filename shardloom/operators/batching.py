@@ -10,6 +10,7 @@ from shardloom.functions.arith import div
 # Micro-batch sizes by model size.
 SMALL_MINI_BATCH, MINI_BATCH = 2, 8
 SMALL_MINI_BATCH_SIZES = ("x2small", "small")
+EVAL_RANGE = 4_096  # evaluations of a run that are listed together
 
 
 def batch_blocks(blocks: DataFrame, seq: str, total: str, batch_size: int) -> DataFrame:
@@ -103,8 +104,17 @@ def run_budgets(runs: DataFrame, n_blocks: int, val_blocks: int, val_batch: int,
 
 
 def run_evaluations(budgets: DataFrame) -> DataFrame:
-    """One row per evaluation of a run's epoch: the micro-batch it follows, and the blocks [from, to) trained since the last."""
-    counted = budgets.filter("n_evals > 0").select("*", F.explode(F.sequence(F.lit(0), F.col("n_evals") - 1)).alias("eval_no"))
+    """One row per evaluation of a run's epoch: the micro-batch it follows, and the blocks [from, to) trained since the last.
+
+    There are as many rows as runs times evaluations, from few rows of settings: ranges of EVAL_RANGE evaluations are dealt
+    out to tasks before they are listed, so neither the runs nor one run's evaluations stay in a single task or array.
+    """
+    counted = budgets.filter("n_evals > 0").select("*", F.explode(F.sequence(F.lit(0), div(F.col("n_evals") - 1, EVAL_RANGE))).alias("_range"))
+    tasks = int(budgets.sparkSession.conf.get("spark.sql.shuffle.partitions"))  # named, else the few bytes before listing would be taken together
+    counted = counted.repartition(tasks, "run_id", "_range")
+    first = F.col("_range") * EVAL_RANGE
+    listed = F.sequence(first, F.least(first + EVAL_RANGE, F.col("n_evals")) - 1)
+    counted = counted.select(*budgets.columns, F.explode(listed).alias("eval_no"))
     length = F.coalesce("interval", "n_batches")
     return counted.select(
         *budgets.columns,

@@ -3,6 +3,7 @@
 import json
 
 import pytest
+from pyspark.sql import functions as F
 
 from shardloom.functions.text import EOS
 from shardloom.operators import batching
@@ -50,6 +51,14 @@ def test_budgets_and_evaluations(spark, n_blocks):
         assert sorted(evals.get(run_id, [])) == want
 
 
+def test_evaluations_of_one_run_are_listed_by_many_tasks(spark):
+    runs = spark.createDataFrame([(1, "small", 2, 16, -1, 1)], "run_id bigint, size string, batch_size bigint, n_ctx bigint, limit_train_batches bigint, eval_interval bigint")
+    listed = batching.run_evaluations(batching.run_budgets(runs.coalesce(1), 200_000, 21, 5, 3))
+    parts = listed.groupBy(F.spark_partition_id().alias("part")).agg(F.count("*").alias("n"), F.min("eval_no").alias("low"), F.max("eval_no").alias("high")).collect()
+    assert sum(r.n for r in parts) == 100_000 and len(parts) > 4
+    assert (min(r.low for r in parts), max(r.high for r in parts)) == (0, 99_999)
+
+
 def test_files_are_listed_without_reading(spark, tmp_path):
     (tmp_path / "deep").mkdir()
     for name, content in (("a.txt", b""), ("deep/b.jsonl.zst", b"not zstd at all"), ("c d", b"xyz")):
