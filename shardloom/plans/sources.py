@@ -50,7 +50,7 @@ def read_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
 def read_whole(spark: SparkSession, sf_dir: str) -> DataFrame:
     """One file per document."""
     path = new_path(spark, "whole")
-    tables.documents(spark, sf_dir).select("text").write.option("maxRecordsPerFile", 1).text(path)
+    writers.write_whole(tables.documents(spark, sf_dir).select("text"), path)
     return _described(readers.read_whole(spark, path))
 
 

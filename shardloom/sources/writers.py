@@ -53,6 +53,16 @@ def write_jsonl(lines: DataFrame, path: str, compression: str = "zstd", frame_by
         lines.toDF("value").write.mode("append").option("compression", compression).text(path)
 
 
+def write_whole(texts: DataFrame, path: str) -> None:
+    """One file per row of a one-column DataFrame, in a new folder.
+
+    Each task moves its own files into place (committer version 2): otherwise the driver would move them one after another
+    at the end. A repeated task writes the same names again; readers must wait for the write to return.
+    """
+    moved_by_tasks = {"mapreduce.fileoutputcommitter.algorithm.version": "2"}
+    texts.toDF("value").write.options(**moved_by_tasks).option("maxRecordsPerFile", 1).text(path)
+
+
 def write_vocab_json(vocab: DataFrame, path: str, per_file: int | None = None) -> None:
     """JSON objects of token -> id: a single one, or by choice one per `per_file` ids, each in its own file.
 

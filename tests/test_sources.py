@@ -196,3 +196,12 @@ def test_lines_survive_other_file_splits(spark, tmp_path):
             spark.conf.set(k, v)
     assert sorted(r.doc_no for r in rows) == list(range(120_000))
     assert all(r.text.startswith(f"line {r.doc_no} ") for r in rows)
+
+
+def test_one_file_per_document(spark, tmp_path):
+    texts = [f"text {i}\n\nwith lines" for i in range(50)] + ["", "é"]
+    writers.write_whole(spark.createDataFrame([(t,) for t in texts], "text string").repartition(4), str(tmp_path / "whole"))
+    back = readers.read_whole(spark, str(tmp_path / "whole")).collect()
+    assert len({r.shard for r in back}) == len(back) == 52
+    assert sorted(r.text for r in back) == sorted(t + "\n" for t in texts)
+    assert not (tmp_path / "whole" / "_temporary").exists()
