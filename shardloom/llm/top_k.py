@@ -46,39 +46,42 @@ class Lists:
         self.float_rows = self.rows.astype(np.float64)
 
     def search(self, query_id: int, query: np.ndarray, k: int) -> list[tuple[int, int]]:
-        """The best k of (vec_id, score), by score, then smaller id."""
+        """The best k of (vec_id, score), by score, then smaller id. Only the parts of the lists that are read are touched."""
         n = len(self.ids)
         used = np.flatnonzero(query)
         exact = self.largest * float(np.abs(query.astype(np.float64)).sum()) < EXACT
-        rows, asked = (self.float_rows, query.astype(np.float64)) if exact else (self.rows.astype(object), query.astype(object))
-        rising = query[used] > 0
-        lists = np.where(rising[:, None], self.order[used, ::-1], self.order[used]) if len(used) else np.empty((0, n), np.int32)
-        seen = np.zeros(n, bool)
+        kind = np.float64 if exact else object
+        rows, asked = (self.float_rows if exact else self.rows.astype(object)), query.astype(kind)
+        rising, falling = np.flatnonzero(query > 0), np.flatnonzero(query < 0)
+        seen, left = np.zeros(n, bool), n
         best: list[tuple[int, int]] = []  # (-score, row); rows are in id order
         low, high = 0, FIRST_DEPTH
         while low < n:
             high = min(high, n) if len(used) else n
-            new = np.unique(lists[:, low:high]) if len(used) else np.arange(n)
-            new = new[~seen[new]]
+            read = np.full(n, not len(used))
+            read[self.order[rising, n - high : n - low]] = True
+            read[self.order[falling, low:high]] = True
+            new = np.flatnonzero(read & ~seen)
             seen[new] = True
-            new = new[self.ids[new] != query_id]  # before the cut below, which copies of the query's own rows could fill
-            scores = rows[new] @ asked
+            left -= len(new)
+            # A product with all rows costs less than a copy of many; what was not read is left out of it.
+            scores = (rows @ asked)[new] if exact and 4 * len(new) > n else rows[new] @ asked
+            other = self.ids[new] != query_id  # before the cuts below, which copies of the query's own rows could fill
+            if len(best) == k:
+                other &= scores >= -best[-1][0]
+            new, scores = new[other], scores[other]
             if exact and len(new) > 4 * k:  # all that could be among the best k
                 floor = np.partition(scores, len(scores) - 2 * k)[len(scores) - 2 * k]
-                keep = scores > floor
-                level = np.flatnonzero(scores == floor)
-                chosen = np.union1d(np.flatnonzero(keep), level[: 2 * k])
+                chosen = np.union1d(np.flatnonzero(scores > floor), np.flatnonzero(scores == floor)[: 2 * k])
             else:
                 chosen = np.arange(len(new))
-            found = [(-int(scores[i]), int(new[i])) for i in chosen]
-            best = sorted(best + found)[:k]
-            if len(used):
-                ends = np.where(rising, self.values[used, n - high], self.values[used, high - 1])
-                bound = int((ends.astype(object) * query[used].astype(object)).sum())
-                if len(best) == k and -best[-1][0] > bound:
-                    break
-            if seen.all():
+            best = sorted(best + [(-int(scores[i]), int(new[i])) for i in chosen])[:k]
+            if not left:
                 break
+            if len(best) == k:
+                ends = np.concatenate((self.values[rising, n - high], self.values[falling, high - 1])).astype(kind)
+                if -best[-1][0] > int((ends * asked[np.concatenate((rising, falling))]).sum()):
+                    break
             low, high = high, 2 * high
         return [(int(self.ids[row]), max(LONG[0], min(LONG[1], -score))) for score, row in best]
 

@@ -4,6 +4,7 @@ import base64
 import hashlib
 import random
 import struct
+import tracemalloc
 import zlib
 
 import numpy as np
@@ -112,6 +113,20 @@ def test_top_k_repeated_rows(spark, times):
     assert got == sorted(want)
 
 
+def test_top_k_touches_only_what_it_reads():
+    """A search that may stop at once makes no copy of the lists, and gives what all scores give."""
+    rnd = np.random.default_rng(4)
+    rows = rnd.integers(-9, 10, (top_k.BLOCK_ROWS, 64))
+    rows[:8] = rnd.integers(200, 210, (8, 64))
+    lists, query = top_k.Lists(np.arange(len(rows)), rows), np.ones(64, np.int64)
+    tracemalloc.start()
+    found = lists.search(3, query, 5)
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert found == [(i, -s) for s, i in sorted((-int(x.sum()), i) for i, x in enumerate(rows) if i != 3)[:5]]
+    assert peak < lists.order.nbytes / 4
+
+
 def test_byte_bpe(docs):
     ranks = {base64.b64decode(a): int(b) for a, b in map(bytes.split, open(BPE, "rb"))}
     library = tiktoken.Encoding("own", pat_str=public_tokenizers.PATTERN, mergeable_ranks=ranks, special_tokens={})
