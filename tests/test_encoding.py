@@ -2,8 +2,10 @@ import random
 from collections import Counter
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
+from pyspark.sql.types import ArrayType, LongType
 from tokenizers import Tokenizer, models, pre_tokenizers, trainers
 
 from shardloom.functions.text import byte_level_words, bytes_to_text, words
@@ -142,6 +144,28 @@ def test_map_items_both_ways(spark, limit):
     assert sorted(((r.k, r.ids) for r in got), key=str) == sorted(want, key=str)
 
 
+@pytest.mark.parametrize("limit", [0, 1000])
+def test_map_items_hands_back_some_items_at_a_time(spark, monkeypatch, limit):
+    """What an array becomes is made in the task, for some arrays at a time, with nulls, empty arrays and long ones among them."""
+    monkeypatch.setattr(lookups, "AT_ONCE", 4)
+    rng = random.Random(8)
+    names = [f"w{i}" for i in range(12)]
+    arrays = [None if i % 9 == 4 else [rng.choice([*names, "unknown", None]) for _ in range(rng.choice((0, 1, 2, 7)))] for i in range(60)]
+    lists = pa.array(arrays, pa.list_(pa.string()))
+    ranges = list(lookups._some(lists))
+    assert [i for r in ranges for i in range(len(lists))[r]] == list(range(len(lists)))
+    assert all(len(range(len(lists))[r]) == 1 or len(lists[r].flatten()) <= 4 for r in ranges) and len(ranges) > 20
+    rows = spark.createDataFrame(list(enumerate(arrays)), "k int, items array<string>").coalesce(1)
+    for value, kind, default, made, put in (
+        (lambda i: [i] * (i % 3), "array<bigint>", [], lookups.flattened(ArrayType(LongType())), lambda vs: [x for v in vs for x in v]),
+        (lambda i: "x" * (i % 3), "string", "", lookups.joined("-"), lambda vs: "-".join(v for v in vs if v)),
+    ):
+        values = {w: value(i) for i, w in enumerate(names)}
+        table = spark.createDataFrame([(w, v, i < 5) for i, (w, v) in enumerate(values.items())], f"item string, value {kind}, hot boolean")
+        got = map_items(rows, ["k"], "items", table, default, "out", map_side_rows=limit, made=made).collect()
+        assert {r.k: r.out for r in got} == {k: put([values.get(w, default) for w in a or []]) for k, a in enumerate(arrays)}
+
+
 def test_map_items_moves_rare_items_only(spark, monkeypatch):
     """Frequent items are replaced where the arrays are; an array joins what it misses once an item, in any place and type."""
     stored = []
