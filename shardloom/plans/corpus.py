@@ -14,7 +14,7 @@ from shardloom.plans import tables
 from shardloom.plans.registry import query
 from shardloom.plans.sql import DOCS, SHARDS, TOKENS, VOCAB, packed, shuffled
 from shardloom.plans.tables import CHUNK_DOCS, LENGTH
-from shardloom.session import new_path, stage
+from shardloom.session import STORED_AS, new_path, stage
 from shardloom.streaming import packing as streaming
 
 SEED, STREAMS, EPOCHS = 7, 3, 2
@@ -88,11 +88,13 @@ def repeat_epochs(spark: SparkSession, sf_dir: str) -> DataFrame:
 def mixed_blocks(spark: SparkSession, sf_dir: str, split: str, streams: int = 1, epochs: int = 1) -> DataFrame:
     """Packed blocks of a split in interleaved order, with `n_blocks`, the length of the sequence."""
     docs = tables.tokens(spark, sf_dir).filter(F.col("split") == split)
-    copies = ordering.add_streams(docs, streams)
+    copies = ordering.add_streams(docs.select("shard", "doc_no", "doc_id", "n"), streams)
     shuffled_docs = ordering.shuffle_docs(copies, F.col("stream"), CHUNK_DOCS, ("stream", "shard"))
     scope = ["stream", "shard"]
     source = F.struct("shard", "doc_i", "doc_id")
-    blocks = packing.pack(shuffled_docs, scope, ["shuffle_key"], LENGTH, provenance=source)
+    starts = packing.offsets(shuffled_docs, scope, ["shuffle_key"]).select("shard", "doc_no", "doc_id", "stream", "doc_i", "n", "start")
+    placed = packing.place_copies(docs, starts, ["shard", "doc_no"])
+    blocks = packing.pack_placed(placed, scope, LENGTH, provenance=source)
     names = tables.shards(spark, sf_dir).filter(F.col("split") == split)
     counts = packing.count_blocks(ordering.add_streams(docs.select("shard", "n"), streams), scope, LENGTH)
     offsets = stage(ordering.stream_offsets(counts, ordering.shard_order(names, streams)), "stream-offsets")
@@ -231,7 +233,7 @@ def pack_stream(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = docs.withColumn("wave", F.least(div("doc_no", 5), F.lit(2)))
     arrivals, out, progress = (new_path(spark, label) for label in ("arrivals", "packed", "progress"))
     for wave in range(3):
-        docs.filter(F.col("wave") == wave).drop("wave").write.mode("append").parquet(arrivals)
+        docs.filter(F.col("wave") == wave).drop("wave").write.mode("append").parquet(arrivals, compression=STORED_AS)
         stream = spark.readStream.schema(docs.drop("wave").schema).parquet(arrivals)
         streaming.pack_stream(stream, out, progress, LENGTH, ["shard"], CHUNK_DOCS).awaitTermination()
     blocks = streaming.read_packed(spark, out)

@@ -9,6 +9,7 @@ from pyspark.sql.streaming import StreamingQuery
 from shardloom.functions.arith import div
 from shardloom.operators.lookup import attach
 from shardloom.operators.packing import pack
+from shardloom.session import STORED_AS
 
 
 def pack_stream(
@@ -33,7 +34,7 @@ def pack_stream(
         first = carried.select(*scope, F.col("block_no").alias("first"))
         blocks = attach(blocks, scope, first, F.col("block_no"))
         numbered = blocks.withColumn("block_no", F.col("block_no") + F.coalesce("first", F.lit(0))).drop("first")
-        numbered.write.mode("overwrite").partitionBy("emitted").parquet(f"{out}/batch={batch_id}")
+        numbered.write.mode("overwrite").partitionBy("emitted").parquet(f"{out}/batch={batch_id}", compression=STORED_AS)
 
     return (
         docs.writeStream.foreachBatch(run)

@@ -5,9 +5,11 @@ from hypothesis import HealthCheck, given, settings
 from hypothesis import strategies as st
 from pyspark.sql import functions as F
 
+from shardloom.operators import packing
 from shardloom.operators.batching import batch_blocks, collate
-from shardloom.operators.ordering import interleave, shard_order, shuffle_docs, stream_offsets
+from shardloom.operators.ordering import add_streams, interleave, shard_order, shuffle_docs, stream_offsets
 from shardloom.operators.packing import count_blocks, limit_tokens, pack, triggers
+from shardloom.plans import corpus
 from shardloom.session import new_path
 from shardloom.streaming.packing import pack_stream, read_packed
 
@@ -127,3 +129,20 @@ def test_stream_equals_batch(spark):
         stream = spark.readStream.schema(docs.schema).parquet(arrivals)
         pack_stream(stream, out, progress, 7, ["shard"], 3).awaitTermination()
     assert packed(read_packed(spark, out)) == expected(shards, 7)
+
+
+def test_copies_of_streams_are_placed_without_their_tokens(spark, monkeypatch):
+    """Every stream packs its own order; what is copied and sorted once a stream has lengths only, and the blocks are those of pack."""
+    shards = random_shards(13)
+    docs = frame(spark, shards).drop("chunk").filter("n > 0")
+    shuffled = shuffle_docs(add_streams(docs, 3), F.col("stream"), 4, ("stream", "shard"))
+    scope, source = ["stream", "shard"], F.col("doc_no")
+    want = pack(shuffled, scope, ["shuffle_key"], 6, provenance=source).collect()
+    starts = packing.offsets(shuffled.drop("tokens"), scope, ["shuffle_key"]).select("shard", "doc_no", "stream", "n", "start")
+    placed = packing.place_copies(docs, starts, ["shard", "doc_no"])
+    assert sorted(map(str, packing.pack_placed(placed, scope, 6, provenance=source).collect())) == sorted(map(str, want))
+
+    seen, plain = [], packing.offsets
+    monkeypatch.setattr(packing, "offsets", lambda docs, *rest: seen.append(docs.columns) or plain(docs, *rest))
+    corpus.mixed_blocks(spark, "/root/testdata/sf0.001", "train", 3, 2)
+    assert len(seen) == 1 and "tokens" not in seen[0]
