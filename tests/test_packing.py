@@ -146,3 +146,17 @@ def test_copies_of_streams_are_placed_without_their_tokens(spark, monkeypatch):
     monkeypatch.setattr(packing, "offsets", lambda docs, *rest: seen.append(docs.columns) or plain(docs, *rest))
     corpus.mixed_blocks(spark, "/root/testdata/sf0.001", "train", 3, 2)
     assert len(seen) == 1 and "tokens" not in seen[0]
+
+
+def test_words_move_as_texts(spark, monkeypatch):
+    """Slices of words travel as one text each; nulls, empty words and words with the separator come back as they were."""
+    rng = random.Random(17)
+    odd = ["", "a", "é", "b c", None, packing.SEPARATOR, f"x{packing.SEPARATOR}y", "|", "\\"]
+    docs = [[rng.choice(odd if i % 2 else ["", "a", "word"]) for _ in range(rng.randint(1, 12))] for i in range(60)]
+    rows = spark.createDataFrame([("s", i, i // 5, d, len(d)) for i, d in enumerate(docs)], "shard string, doc_no bigint, chunk bigint, tokens array<string>, n bigint")
+    moved, plain = [], packing._narrow
+    monkeypatch.setattr(packing, "_narrow", lambda kind: moved.append(kind) or plain(kind))
+    blocks = pack(rows, ["shard"], ["doc_no"], 4).orderBy("block_no").collect()
+    whole = [t for d in docs for t in d]
+    assert [b.tokens for b in blocks] == [whole[i * 4 : i * 4 + 4] for i in range((len(whole) - 1) // 4)]
+    assert moved
