@@ -54,11 +54,22 @@ def write_jsonl(lines: DataFrame, path: str, compression: str = "zstd", frame_by
 
 
 def write_whole(texts: DataFrame, path: str) -> None:
-    """One file per row of a one-column DataFrame, in a new folder.
+    """One file per row of a one-column DataFrame, in a new folder; a null gives a file of one line break.
 
-    Each task moves its own files into place (committer version 2): otherwise the driver would move them one after another
-    at the end. A repeated task writes the same names again; readers must wait for the write to return.
+    In a plain file system tasks write the files themselves (`whole_texts` below). Elsewhere Spark's text writer does, and each task
+    moves its own files into place (committer version 2): otherwise the driver would move them one after another at the end.
+    Readers must wait for the write to return.
     """
+    full = qualified(texts.sparkSession, path)
+    if full.startswith("file:"):
+        files, root = fs.FileSystem.from_uri(full)
+        if files.get_file_info(root).type != fs.FileType.NotFound:
+            raise FileExistsError(full)
+        ship(__name__)
+        ship(frames.__name__)
+        texts.sparkSession.dataSource.register(WholeTexts)
+        texts.toDF("value").write.format("whole_texts").option("path", full).mode("append").save()
+        return
     moved_by_tasks = {"mapreduce.fileoutputcommitter.algorithm.version": "2"}
     texts.toDF("value").write.options(**moved_by_tasks).option("maxRecordsPerFile", 1).text(path)
 
@@ -81,6 +92,59 @@ class _Part(WriterCommitMessage):
     lines: int
 
 
+class WholeTexts(DataSource):
+    """Each text a file of its own, closed by a line break. Spark's writer opens, checks, lists and moves every file by itself."""
+
+    @classmethod
+    def name(cls) -> str:
+        return "whole_texts"
+
+    def schema(self) -> str:
+        return "value string"
+
+    def writer(self, schema: StructType, overwrite: bool) -> DataSourceArrowWriter:
+        return _WholeWriter(self.options["path"])
+
+
+@dataclass
+class _Attempt(WriterCommitMessage):
+    name: str
+
+
+class _WholeWriter(DataSourceArrowWriter):
+    """Each task attempt writes files of its own names; the driver deletes those of attempts that do not count before the write returns."""
+
+    def __init__(self, path: str):
+        self.path, self.write_id = path.rstrip("/"), uuid.uuid4().hex
+
+    def write(self, iterator: Iterator[pa.RecordBatch]) -> WriterCommitMessage:
+        from pyspark import TaskContext
+
+        files, root = fs.FileSystem.from_uri(self.path)
+        files.create_dir(root, recursive=True)
+        name, no = f"part-{TaskContext.get().partitionId():05d}-{self.write_id}-{uuid.uuid4().hex}", 0
+        for batch in iterator:
+            for text in batch.column(0).cast(pa.binary()):
+                with files.open_output_stream(f"{root}/{name}-{no:09d}.txt", compression=None) as sink:
+                    sink.write((text.as_py() or b"") + b"\n")
+                no += 1
+        return _Attempt(name)
+
+    def commit(self, messages: list[WriterCommitMessage | None]) -> None:
+        self._delete({m.name for m in messages if m})
+
+    def abort(self, messages: list[WriterCommitMessage | None]) -> None:
+        self._delete(set())
+
+    def _delete(self, kept: set[str]) -> None:
+        files, root = fs.FileSystem.from_uri(self.path)
+        files.create_dir(root, recursive=True)
+        for found in files.get_file_info(fs.FileSelector(root)):
+            attempt = found.base_name.rpartition("-")[0]
+            if self.write_id in attempt and attempt not in kept:
+                files.delete_file(found.path)
+
+
 class ZstdLines(DataSource):
     """Text lines in .zst files of many frames, readable by zstd itself and by Spark's own text source.
 
