@@ -107,11 +107,13 @@ def run_evaluations(budgets: DataFrame) -> DataFrame:
     """One row per evaluation of a run's epoch: the micro-batch it follows, and the blocks [from, to) trained since the last.
 
     There are as many rows as runs times evaluations, from few rows of settings: ranges of EVAL_RANGE evaluations are dealt
-    out to tasks before they are listed, so neither the runs nor one run's evaluations stay in a single task or array.
+    out to tasks before they are listed, so neither the runs nor one run's evaluations stay in a single task or array. The same
+    range of runs with the same batches stays together, as its numbers are the same: columnar files hold them once.
     """
     counted = budgets.filter("n_evals > 0").select("*", F.explode(F.sequence(F.lit(0), div(F.col("n_evals") - 1, EVAL_RANGE))).alias("_range"))
     tasks = int(budgets.sparkSession.conf.get("spark.sql.shuffle.partitions"))  # named, else the few bytes before listing would be taken together
-    counted = counted.repartition(tasks, "run_id", "_range")
+    alike = [F.coalesce("interval", "n_batches"), F.col("mini"), F.col("_range"), F.col("run_id")]
+    counted = counted.repartitionByRange(tasks, *alike).sortWithinPartitions(*alike)
     first = F.col("_range") * EVAL_RANGE
     listed = F.sequence(first, F.least(first + EVAL_RANGE, F.col("n_evals")) - 1)
     counted = counted.select(*budgets.columns, F.explode(listed).alias("eval_no"))
