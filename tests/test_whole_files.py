@@ -29,3 +29,15 @@ def test_files_of_lost_attempts_go(tmp_path):
 def test_an_empty_table_writes_an_empty_folder(spark, tmp_path):
     writers.write_whole(spark.createDataFrame([], "text string"), str(tmp_path / "whole"))
     assert readers.read_whole(spark, str(tmp_path / "whole")).count() == 0
+
+
+def test_many_small_files_are_few_tasks(spark, tmp_path):
+    path, cores = str(tmp_path / "whole"), spark.sparkContext.defaultParallelism
+    spark.conf.set("spark.sql.files.maxPartitionBytes", "4m")
+    try:
+        writers.write_whole(spark.range(20 * cores).selectExpr("cast(id AS string)"), path)
+        read = readers.read_whole(spark, path)
+        assert read.rdd.getNumPartitions() <= readers.SHARES * cores
+        assert sorted(int(r.text) for r in read.collect()) == list(range(20 * cores))
+    finally:
+        spark.conf.unset("spark.sql.files.maxPartitionBytes")
